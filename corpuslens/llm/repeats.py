@@ -217,7 +217,7 @@ def _hot_spans(contexts: DataFrame, window: int, step: int = 17) -> DataFrame:
     return spans.unionByName(found.select("doc_id", "th", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") - F.col("x") + window).alias("e")))
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512) -> DataFrame:
     """(doc_id, th, spans): byte spans covered by windows that start anywhere else too.
 
     docs(doc_id, text, ...); th is xxhash64(text) and names the row's text. Matches never cross
@@ -305,6 +305,6 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, keep_text: bool = True) -> Da
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, hot: int = 4096, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, hot: int = 512, keep_text: bool = True) -> DataFrame:
     """Every byte covered by a ``window``-byte string that also starts anywhere else is removed."""
     return cut_repeats(docs, repeated_spans(docs, window, hot), keep_text)
