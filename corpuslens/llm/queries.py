@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, jaccard_join, langid, line_quality, packing, pu_quality, repeats
+from . import chat, decontaminate, html_text, jaccard_join, langid, line_quality, lm_score, packing, pu_quality, repeats
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), _fold(5) == 1)
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -70,7 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_html_extraction, op4_best_two_fit, op5_language_id, op6_quality_classifier, op7_chat_formatting, op8_suffix_array_dedup, op9_decontamination, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_html_extraction, op4_best_two_fit, op5_language_id, op6_quality_classifier, op7_chat_formatting, op8_suffix_array_dedup, op9_decontamination, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
