@@ -1,5 +1,13 @@
 """Query catalogue: name -> (run(spark, sf_dir), oracle SQL or None)."""
 
+from __future__ import annotations
+
 
 def catalogue() -> dict:
-    return {}
+    from . import analytics, texts
+
+    return {**texts.CATALOGUE, **analytics.CATALOGUE}
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
