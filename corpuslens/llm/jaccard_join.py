@@ -24,6 +24,7 @@ from .components import connected_components
 from .hashing import U, distinct_per_row, mix, shingles, word_hashes
 
 FREQUENT_KEPT = 65_536  # the frequency table is broadcast: 16 bytes an entry, 1 MB
+SMALL = 500_000  # ids that may be broadcast, 4 MB
 FLUSH = 4_000_000  # tokens counted together in one task
 ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<i4")])
 
@@ -198,10 +199,31 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int, column: str, k
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tokens(docs: DataFrame, ids: DataFrame, k: int, short: bool) -> DataFrame:
+    """(doc_id, tokens): sorted tokens of the documents with the given ids; short: two bytes of each.
+
+    ids is broadcast where it is small, else joined by a shuffle."""
+    ids = scratch(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("doc_id")
+            for i, j, sh, rw in token_sets(batch.column("text"), k):
+                n = np.bincount(rw, minlength=j - i)
+                kept = (sh >> U(48)).astype(np.uint16) if short else sh  # the highest bits, so still in order
+                yield pa.record_batch([own.slice(i, j - i), binary_array(kept, n)], ["doc_id", "tokens"])
+
+    one = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary")
+    return scratch(one.dropDuplicates(["doc_id"]), "tokens")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shorts: DataFrame, k: int, percent: int) -> DataFrame:
     """Whole sets are compared; first by two bytes of each token, which rules out nearly all others
     at a quarter of the traffic and never a link."""
-    return _overlapping(scratch(_overlapping(pairs, sets, percent, "short", np.uint16), "likely"), sets, percent, "tokens", U)
+    likely = scratch(_overlapping(pairs, shorts, percent, "tokens", np.uint16), "likely")
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    return _overlapping(likely, _tokens(docs, ids, k, False), percent, "tokens", U)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_floor: int = 16, pair_from: int = 1024) -> DataFrame:
@@ -227,17 +249,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     first = buckets.join(pivot, "sig").where(F.col("doc_id") != F.col("b")).where(_possible(percent))
     first = scratch(first.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct(), "pairs")
 
-    def tokens(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for i, j, sh, rw in token_sets(batch.column("text"), k):
-                n = np.bincount(rw, minlength=j - i)
-                short = (sh >> U(48)).astype(np.uint16)  # the highest bits, so still in order
-                yield pa.record_batch([ids.slice(i, j - i), binary_array(sh, n), binary_array(short, n)], ["doc_id", "tokens", "short"])
-
-    wanted = buckets.select("doc_id").distinct()
-    whole = scratch(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(tokens, "doc_id long, tokens binary, short binary"), "tokens")
-    links = scratch(_verified(first, whole, percent), "links")
+    shorts = _tokens(docs, buckets.select("doc_id").distinct(), k, True)
+    links = scratch(_verified(first, docs, shorts, k, percent), "links")
     parts = connected_components(links)
 
     member = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -246,7 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     other = member.select("sig", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"))
     rest = member.join(other, "sig").where("doc_id < d2 AND component <> c2").where(_possible(percent))
     rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = scratch(_verified(rest, whole, percent), "links")
+    more = scratch(_verified(rest, docs, shorts, k, percent), "links")
     parts = connected_components(links.unionByName(more))
 
     out = sets.join(classes, ["n_shingles", "set_a", "set_b"], "left").join(parts.withColumnRenamed("node", "same_set"), "same_set", "left")
