@@ -1 +1,94 @@
-"""Subpackage of corpuslens."""
+"""Scans and sinks at the edges: CSV in several encodings, JSON lines, transcripts, status splits."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.sql.window import Window as W
+
+from ..operators.order import sessions
+
+ENCODINGS = ("utf-8-sig", "gbk", "gb2312", "gb18030", "big5")
+
+
+def _decode(raw: bytes, encodings: Sequence[str]) -> str | None:
+    for e in encodings:
+        try:
+            return raw.decode(e)
+        except UnicodeDecodeError:
+            continue
+    return None
+
+
+def read_csv_multi(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """(path, content) of text files: each by the first encoding that decodes it; files that none
+    decodes are left out. Parse with ``from_csv`` or write once as UTF-8."""
+
+    @F.pandas_udf(StringType())
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: _decode(b, encodings))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", decode("content").alias("content")).where("content IS NOT NULL")
+
+
+def read_strings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """CSV as strings without nulls; BOM and spaces are stripped from headers."""
+    df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(path)
+    named = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    return named.fillna("")
+
+
+def tag_source(df: DataFrame) -> DataFrame:
+    """source_file and source_path from the file metadata of a scan."""
+    return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn("source_path", F.col("_metadata.file_path"))
+
+
+def tier(path: Column, rules: Sequence[tuple[str, int]], otherwise: int = 0) -> Column:
+    """Corpus tier by the first part of a path that matches."""
+    out = None
+    for part, value in rules:
+        hit = F.contains(F.lower(path), F.lit(part))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out.otherwise(otherwise)
+
+
+def read_transcripts(spark: SparkSession, path: str, max_header: int = 20, marks: str = "[。！？，.!?,]") -> DataFrame:
+    """(path, session, speaker, content): a short line without marks opens a speaker's turn."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.trim("line"))
+    return sessions(lines, "path", "pos", "line", (F.length("line") < max_header) & ~F.col("line").rlike(marks)).where("n_lines > 0")
+
+
+def union_named(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def write_by_status(df: DataFrame, path: str, status: str = "final_status") -> None:
+    """One folder a status."""
+    df.write.mode("overwrite").partitionBy(status).json(path)
+
+
+def write_requests(df: DataFrame, path: str, custom_id: Column, model: str, system: str, user: Column, temperature: float = 0.0, per_file: int = 50) -> None:
+    """Request lines, ``per_file`` of them at most in a file."""
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+    body = F.struct(F.lit(model).alias("model"), messages.alias("messages"), F.lit(temperature).alias("temperature"))
+    df.select(custom_id.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body")).write.mode("overwrite").option("maxRecordsPerFile", per_file).json(path)
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """(custom_id, content, error) of response lines; a later file's line wins."""
+    raw = spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
+    content = F.get_json_object("value", "$.response.body.choices[0].message.content")
+    rows = raw.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), content.alias("content"), "file")
+    w = W.partitionBy("custom_id").orderBy(F.desc("file"), F.desc("content"))
+    rows = rows.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    bad = F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "Empty content").when(F.get_json_object("content", "$").isNull(), "JSON Parse Error")
+    return rows.select("custom_id", "content", bad.alias("error"))
