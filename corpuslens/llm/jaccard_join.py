@@ -175,10 +175,15 @@ def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def _possible(percent: int):
-    """Size and position bounds on a pair (n, pos | n2, pos2) from one shared signature."""
+    """Size and position bounds on a pair (n, pos | n2, pos2) from one shared signature.
+
+    A linked pair has this row for the first token that it shares: nothing before it is shared, so
+    what is left of either set from there on must reach the overlap that their sizes require. Later
+    shared tokens may fail; the pair stays through its first. Pair signatures (pos -1) have no bound.
+    """
     n, m, p, q = (F.col(c) for c in ("n", "n2", "pos", "pos2"))
-    most = F.when((p < 0) | (q < 0), F.least(n, m)).otherwise(F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
+    first = (100 + percent) * F.least(n - p, m - q) >= percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((p < 0) | (q < 0) | first)
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int, column: str, kind: type) -> DataFrame:
