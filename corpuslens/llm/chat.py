@@ -45,8 +45,9 @@ def root_to_leaf_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     jumps, rounds = [jump], 0
     while not jump.where("up IS NOT NULL").isEmpty() and rounds < 40:
         above = jump.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        jump = jump.join(above, ["tree_id", "up"], "left").select("tree_id", "node_id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), F.when(F.col("depth") < (1 << 30), F.col("depth") + F.coalesce("d2", F.lit(0))).otherwise(F.col("depth")).alias("depth"))
-        jump = scratch(jump, "jump")
+        done = jump.where("up IS NULL").select("tree_id", "node_id", "up", "total", "depth")
+        jump = jump.where("up IS NOT NULL").join(above, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), F.when(F.col("depth") < (1 << 30), F.col("depth") + F.coalesce("d2", F.lit(0))).otherwise(F.col("depth")).alias("depth"))
+        jump = scratch(done.unionByName(jump), "jump")
         jumps.append(jump)
         rounds += 1
     parents = jumps[0].select("tree_id", F.col("up").alias("node_id")).where("node_id IS NOT NULL").distinct()
