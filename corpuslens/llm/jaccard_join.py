@@ -5,9 +5,11 @@ and only its smallest id goes on. Tokens are ordered by document frequency, rare
 with Jaccard >= t share at least two tokens of their extended prefixes (n - ceil(t n) + 2 tokens).
 Rare tokens are indexed singly, tokens of the frequent class only in pairs, so a passage in a third
 of all documents makes no bucket of its own unless it fills the documents. Candidates meet the size
-and position bounds, are verified on whole sets, and are compared in two steps: every member of a
-bucket with one pivot first, then all pairs that are still in different components. Nothing is
-capped: links between different sets that could join components are all verified.
+and position bounds and are verified on whole sets, in three rounds: every set with the pivot with
+which it shares most buckets, then with the pivots of its other buckets, then all pairs of a bucket.
+The later rounds take pairs that are still in different components and whose sketches (the parity of
+the tokens in each of 256 classes) differ in no more places than the linked sets may differ in
+tokens. Nothing is capped: links that could join components are all verified.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .hashing import U, distinct_per_row, mix, shingles, word_hashes
 FREQUENT_KEPT = 65_536  # the frequency table is broadcast: 16 bytes an entry, 1 MB
 SMALL = 500_000  # ids that may be broadcast, 4 MB
 FLUSH = 4_000_000  # tokens counted together in one task
+SKETCH = 256  # bits
+BITS = [f"b{i}" for i in range(SKETCH // 64)]
 ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<i4")])
 
 
@@ -51,6 +55,13 @@ def set_ids(sh: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return n, out[0], out[1]
 
 
+def sketches(sh: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """A row of SKETCH bits for each row: the parity of its distinct tokens in each class. Two sets
+    differ in at least as many tokens as their sketches differ in bits."""
+    odd = np.bincount(row * SKETCH + ((sh >> U(24)) % U(SKETCH)).astype(np.int64), minlength=rows * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1).view(np.int64)
+
+
 def _frequent(docs: DataFrame, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens and their document counts, sorted by token.
 
@@ -97,6 +108,7 @@ def _signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarra
             ids = batch.column("doc_id")
             for i, j, sh, rw in token_sets(batch.column("text"), k):
                 n, a, b = set_ids(sh, rw, j - i)
+                bits = sketches(sh, rw, j - i)
                 often = np.zeros(len(sh), np.int64)
                 if len(known) and len(sh):
                     at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
@@ -116,19 +128,20 @@ def _signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarra
                     for x in range(j - i):
                         lo, hi = ends[x] - n[x], ends[x] - n[x] + length[x]
                         parts.append(sh[lo : lo + singles[x]])
-                        many = np.sort(sh[lo + singles[x] : hi])
+                        many = sh[lo + singles[x] : hi]
                         if len(many) > 1:
-                            p, q = np.triu_indices(len(many), 1)
+                            q, p = np.tril_indices(len(many), -1)  # ordered by the later token: _buckets counts on it
                             parts.append(mix(many[p] * U(0xA0761D6478BD642F) + many[q]))
                             counts[x] += len(p)
                 sigs = np.concatenate(parts) if parts else np.empty(0, U)
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(singles.astype(np.int32)), binary_array(sigs, counts)], ["doc_id", "n_shingles", "set_a", "set_b", "n_single", "sigs"])
+                yield pa.record_batch([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(singles.astype(np.int32)), binary_array(sigs, counts), *map(pa.array, np.ascontiguousarray(bits.T))], ["doc_id", "n_shingles", "set_a", "set_b", "n_single", "sigs", *BITS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, n_single int, sigs binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, n_single int, sigs binary, " + ", ".join(f"{x} long" for x in BITS))
 
 
 def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
-    """(sig, doc_id, n, pos) of signatures that two or more of the given sets have."""
+    """(sig, doc_id, n, pos, pivot, n2, pos2) of signatures that two or more of the given sets have;
+    the pivot is one of the sets with the signature, the same for all of them."""
 
     def scatter(batches):
         def out(have):
@@ -151,7 +164,9 @@ def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
             e["doc"] = np.repeat(batch.column("doc_id").to_numpy(), counts)
             e["n"] = np.repeat(batch.column("n_shingles").to_numpy(), counts)
             pos = np.arange(len(e)) - np.repeat(np.cumsum(counts) - counts, counts)
-            e["pos"] = np.where(pos < np.repeat(batch.column("n_single").to_numpy(), counts), pos, -1)
+            singles = np.repeat(batch.column("n_single").to_numpy(), counts)
+            later = (1 + np.sqrt(8.0 * np.maximum(pos - singles, 0) + 1)).astype(np.int64) // 2  # of a pair's tokens
+            e["pos"] = np.where(pos < singles, pos, singles + later - 1)
             have.append(e)
             size += len(e)
             if size > 1_000_000:
@@ -168,22 +183,33 @@ def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
         e = e[np.argsort(e["sig"], kind="stable")]
         same = e["sig"][1:] == e["sig"][:-1]
         e = e[np.r_[same, False] | np.r_[False, same]]
-        yield pa.record_batch([pa.array(np.ascontiguousarray(e[f]).astype(np.int64) if f != "sig" else np.ascontiguousarray(e[f]).view(np.int64)) for f in ("sig", "doc", "n", "pos")], ["sig", "doc_id", "n", "pos"])
+        e = e[np.lexsort((mix(e["doc"].astype(U)), e["sig"]))]
+        first = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else np.empty(0, np.int64)
+        lead = e[np.repeat(first, np.diff(np.r_[first, len(e)]))]
+        columns = [np.ascontiguousarray(e["sig"]).view(np.int64), *[x[f].astype(np.int64) for x in (e, lead) for f in ("doc", "n", "pos")]]
+        yield pa.record_batch([pa.array(x) for x in columns], ["sig", "doc_id", "n", "pos", "pivot", "n2", "pos2"])
 
     blobs = sets.select("doc_id", "n_shingles", "n_single", "sigs").mapInArrow(scatter, "bucket int, entries binary")
-    return blobs.repartition(shuffle_partitions(sets.sparkSession), "bucket").mapInArrow(gather, "sig long, doc_id long, n long, pos long")
+    return blobs.repartition(shuffle_partitions(sets.sparkSession), "bucket").mapInArrow(gather, "sig long, doc_id long, n long, pos long, pivot long, n2 long, pos2 long")
 
 
 def _possible(percent: int):
     """Size and position bounds on a pair (n, pos | n2, pos2) from one shared signature.
 
-    A linked pair has this row for the first token that it shares: nothing before it is shared, so
-    what is left of either set from there on must reach the overlap that their sizes require. Later
-    shared tokens may fail; the pair stays through its first. Pair signatures (pos -1) have no bound.
+    A linked pair has a row for the first token that it shares, or for its first two where they are
+    frequent: nothing else before is shared, so what is left of either set from there on must reach
+    the overlap that their sizes require. pos is that of a single token, or one less than that of a
+    pair's later token, as one more is shared before. Rows of later tokens may fail; the pair stays
+    through its first.
     """
     n, m, p, q = (F.col(c) for c in ("n", "n2", "pos", "pos2"))
-    first = (100 + percent) * F.least(n - p, m - q) >= percent * (n + m)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((p < 0) | (q < 0) | first)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
+
+
+def _alike(percent: int):
+    """Linked sets of n and n2 tokens differ in (100 - percent) / (100 + percent) of n + n2 at most."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in BITS), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int, column: str, kind: type) -> DataFrame:
@@ -250,20 +276,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     chosen = real.join(classes.select(F.col("same_set").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     buckets = scratch(_buckets(chosen, 8 * shuffle_partitions(spark)), "buckets")
 
-    pivot = buckets.groupBy("sig").agg(F.min(F.struct(F.xxhash64("doc_id").alias("p"), "doc_id", "n", "pos")).alias("v")).select("sig", F.col("v.doc_id").alias("b"), F.col("v.n").alias("n2"), F.col("v.pos").alias("pos2"))
-    first = buckets.join(pivot, "sig").where(F.col("doc_id") != F.col("b")).where(_possible(percent))
-    first = scratch(first.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct(), "pairs")
-
     shorts = _tokens(docs, buckets.select("doc_id").distinct(), k, True)
+    sketch = scratch(chosen.select("doc_id", *BITS), "sketches")
+    other_sketch = lambda name: sketch.select(F.col("doc_id").alias(name), *[F.col(x).alias(f"{x}_2") for x in BITS])
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    near = buckets.where(F.col("doc_id") != F.col("pivot")).where(_possible(percent))
+    near = scratch(near.groupBy("doc_id", "n", "pivot", "n2").agg(F.count("*").alias("shared")), "near")
+    best = near.groupBy("doc_id").agg(F.max(F.struct("shared", F.xxhash64("pivot").alias("h"), "pivot")).alias("v"))
+    first = scratch(best.select(*ordered("doc_id", "v.pivot")).distinct(), "pairs")
     links = scratch(_verified(first, docs, shorts, k, percent), "links")
     parts = connected_components(links)
 
-    member = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of = lambda rows, node, name: rows.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    apart = of(of(near, "doc_id", "c1"), "pivot", "c2").where("c1 <> c2")
+    second = apart.join(sketch, "doc_id").join(other_sketch("pivot"), "pivot").where(_alike(percent))
+    second = scratch(second.select(*ordered("doc_id", "pivot")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    links = scratch(links.unionByName(_verified(second, docs, shorts, k, percent)), "links")
+    parts = connected_components(links)
+
+    member = of(buckets.select("sig", "doc_id", "n", "pos"), "doc_id", "component")
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    member = member.join(mixed, "sig", "left_semi")
-    other = member.select("sig", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"))
-    rest = member.join(other, "sig").where("doc_id < d2 AND component <> c2").where(_possible(percent))
-    rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    member = scratch(member.join(mixed, "sig", "left_semi").join(sketch, "doc_id"), "mixed")
+    other = member.select("sig", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), *[F.col(x).alias(f"{x}_2") for x in BITS])
+    rest = member.join(other, "sig").where("doc_id < d2 AND component <> c2").where(_possible(percent) & _alike(percent))
+    rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct()
+    for done in (first, second):
+        rest = rest.join(done, ["a", "b"], "left_anti")
     more = scratch(_verified(rest, docs, shorts, k, percent), "links")
     parts = connected_components(links.unionByName(more))
 
