@@ -192,7 +192,7 @@ def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
         yield pa.record_batch([pa.array(x) for x in columns], ["sig", "doc_id", "n", "pos", "pivot", "n2", "pos2"])
 
     blobs = sets.select("doc_id", "n_shingles", "n_single", "sigs").mapInArrow(scatter, "bucket int, entries binary")
-    return blobs.repartition(shuffle_partitions(sets.sparkSession), "bucket").mapInArrow(gather, "sig long, doc_id long, n long, pos long, pivot long, n2 long, pos2 long")
+    return blobs.repartitionById(buckets, "bucket").mapInArrow(gather, "sig long, doc_id long, n long, pos long, pivot long, n2 long, pos2 long")
 
 
 def _possible(percent: int):
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     real = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("same_set")), "classes")
     chosen = real.join(classes.select(F.col("same_set").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = scratch(_buckets(chosen, 8 * shuffle_partitions(spark)), "buckets")
+    buckets = scratch(_buckets(chosen, shuffle_partitions(spark)), "buckets")
 
     shorts = _tokens(docs, buckets.select("doc_id").distinct(), k, True)
     sketch = scratch(chosen.select("doc_id", *BITS), "sketches")
