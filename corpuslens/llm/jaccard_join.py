@@ -5,10 +5,10 @@ and only its smallest id goes on. Tokens are ordered by document frequency, rare
 with Jaccard >= t share at least two tokens of their extended prefixes (n - ceil(t n) + 2 tokens).
 Rare tokens are indexed singly, tokens of the frequent class only in pairs, so a passage in a third
 of all documents makes no bucket of its own unless it fills the documents. Candidates meet the size
-and position bounds and are verified on whole sets, in four rounds: every set with the pivot with
+and position bounds and are verified on whole sets, in rounds: every set with the pivot with
 which it shares most buckets, then with the pivots of its other buckets, then with the most central
-set of each bucket (the one whose buckets are fullest: copies of one text differ less from it than
-from each other), then all pairs of a bucket. The later rounds take pairs that are still in different
+sets of each bucket (those whose buckets are fullest: copies of one text differ less from them
+than from each other), then all pairs of a bucket. The later rounds take pairs that are still in different
 components and whose sketches (the parity of the tokens in each of 256 classes) differ in no more
 places than the linked sets may differ in tokens. Nothing is capped: links that could join
 components are all verified.
@@ -31,6 +31,7 @@ FREQUENT_KEPT = 65_536  # the frequency table is broadcast: 16 bytes an entry, 1
 SMALL = 500_000  # ids that may be broadcast, 4 MB
 FLUSH = 4_000_000  # tokens counted together in one task
 SKETCH = 256  # bits
+CENTRAL_ROUNDS = 2
 BITS = [f"b{i}" for i in range(SKETCH // 64)]
 ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<i4")])
 
@@ -259,9 +260,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shorts: DataFrame, k: int, perc
     return _overlapping(likely, _tokens(docs, ids, k, False), percent, "tokens", U)
 
 
-def _mixed(buckets: DataFrame, sketch: DataFrame, of) -> DataFrame:
+def _mixed(rows: DataFrame, sketch: DataFrame, of) -> DataFrame:
     """(sig, doc_id, n, pos, component, sketch) of the buckets whose sets are in two or more components."""
-    member = of(buckets.select("sig", "doc_id", "n", "pos"), "doc_id", "component")
+    member = of(rows, "doc_id", "component")
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     return scratch(member.join(mixed, "sig", "left_semi").join(sketch, "doc_id"), "mixed")
 
@@ -308,23 +309,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     links = scratch(links.unionByName(_verified(second, docs, shorts, k, percent)), "links")
     parts = connected_components(links)
 
-    # what is left apart: first the most central set of each mixed bucket, then all pairs
-    member = _mixed(buckets, sketch, of)
-    central = member.join(member.groupBy("sig").agg(F.count("*").alias("size")), "sig").groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    lead = member.join(central, "doc_id").groupBy("sig").agg(F.max(F.struct("weight", "doc_id")).getField("doc_id").alias("doc_id"))
-    third = member.join(_other(member.join(lead, ["sig", "doc_id"], "left_semi")), "sig").where("component <> c2").where(_possible(percent) & _alike(percent))
-    third = third.select(*ordered("doc_id", "d2")).distinct()
-    for done in (first, second):
-        third = third.join(done, ["a", "b"], "left_anti")
-    third = scratch(third, "pairs")
-    links = scratch(links.unionByName(_verified(third, docs, shorts, k, percent)), "links")
-    parts = connected_components(links)
-
-    member = _mixed(buckets, sketch, of)
+    # what is left apart: the most central sets of each mixed bucket in turn, then all pairs. A set
+    # that was held against its whole bucket leaves it; a pair that fails the position bound there
+    # shares an earlier token, whose bucket it stays in.
+    rows, done = buckets.select("sig", "doc_id", "n", "pos"), first.unionByName(second)
+    for _ in range(CENTRAL_ROUNDS):
+        member = _mixed(rows, sketch, of)
+        central = member.join(member.groupBy("sig").agg(F.count("*").alias("size")), "sig").groupBy("doc_id").agg(F.sum("size").alias("weight"))
+        lead = member.join(central, "doc_id").groupBy("sig").agg(F.max(F.struct("weight", "doc_id")).getField("doc_id").alias("doc_id"))
+        lead = scratch(lead, "lead")
+        pairs = member.join(_other(member.join(lead, ["sig", "doc_id"], "left_semi")), "sig").where("component <> c2").where(_possible(percent) & _alike(percent))
+        pairs = scratch(pairs.select(*ordered("doc_id", "d2")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        links = scratch(links.unionByName(_verified(pairs, docs, shorts, k, percent)), "links")
+        parts = connected_components(links)
+        rows, done = member.join(lead, ["sig", "doc_id"], "left_anti").select("sig", "doc_id", "n", "pos"), done.unionByName(pairs)
+
+    member = _mixed(rows, sketch, of)
     rest = member.join(_other(member), "sig").where("doc_id < d2 AND component <> c2").where(_possible(percent) & _alike(percent))
-    rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct()
-    for done in (first, second, third):
-        rest = rest.join(done, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     more = scratch(_verified(rest, docs, shorts, k, percent), "links")
     parts = connected_components(links.unionByName(more))
 
