@@ -44,6 +44,16 @@ def token_ids(text: str, paths: tuple[str, str]) -> list[int]:
     return fast.encode_ordinary(text)
 
 
+def word_ids(words: list[str], paths: tuple[str, str]) -> list[list[int]]:
+    """token_ids of each word with a leading space; special tokens are sought in all at once."""
+    token_ids("", paths)
+    _, special, fast = _encoders[paths[0]]
+    joined = " " + "\n ".join(words)
+    if any(s in joined for s in special):
+        return [token_ids(" " + w, paths) for w in words]
+    return [fast.encode_ordinary(" " + w) for w in words]
+
+
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; every length is from 1 to capacity.
 
