@@ -245,6 +245,20 @@ def test_scores(spark, monkeypatch):
             assert math.isclose(r["base_score"], sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9) and r["score"] < 0
 
 
+def test_scores_learn_from_every_training_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(i, t) for i, t in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(32)) != 0).coalesce(1)
+    assert docs.count() > 3
+    score = lambda d: {r["doc_id"]: r["score"] for r in lm_score.score_documents(d, F.col("doc_id") < 0).collect()}
+    got = score(docs)
+    monkeypatch.setattr(lm_score, "_train", lambda d, vocabulary, *a, **k: lm_score.CausalModel(vocabulary.inputs, vocabulary.outputs))
+    first = score(docs)
+    assert all(got[i] > first[i] + 1 for i in first)  # better than the first weights
+
+
 def test_model_gradients():
     r = np.random.default_rng(1)
     model = lm_score.CausalModel(10, 6)
