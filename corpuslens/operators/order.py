@@ -75,6 +75,15 @@ def balanced_draw(rows: DataFrame, stratum: str, key: str, n: int, seed: str) ->
     return rows.withColumn("round", order).orderBy("round", sample_rank(seed, F.col(stratum)), key).limit(n)
 
 
+def cap_candidates(rows: DataFrame, label: str, score: str, key: str, column: str, cap: int, target: int) -> DataFrame:
+    """The rows that greedy_capped with this one cap can reach: per label the best ``cap`` of each value,
+    of null and empty ones, which have no cap, the best ``target``. With distinct keys the choice is
+    that from all rows."""
+    blank = F.coalesce(F.col(column), F.lit("")) == ""
+    w = W.partitionBy(label, F.coalesce(F.col(column), F.lit(""))).orderBy(F.desc_nulls_last(F.nanvl(F.col(score), F.lit(None).cast("double"))), F.asc_nulls_last(key))
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.when(blank, target).otherwise(cap)).drop("_rn")
+
+
 def greedy_capped(rows: DataFrame, label: str, score: str, key: str, caps: dict[str, int], target: int) -> DataFrame:
     """Per label, rows in score order while no capped column's value is used up, until target.
 

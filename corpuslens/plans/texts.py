@@ -320,5 +320,4 @@ def html_unescape(spark, sf):
 def greedy_gap_sample(spark, sf):
     """Per language, the best-scored documents with at most three of a source."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", ((F.col("doc_id") * 37) % 101).cast("double").alias("score"))
-    best = O.stratified_sample(d, ["lang"], "doc_id", 300, "3").drop("rn")
-    return O.greedy_capped(best, "lang", "score", "doc_id", {"source": 3}, 40)
+    return O.greedy_capped(O.cap_candidates(d, "lang", "score", "doc_id", "source", 3, 40), "lang", "score", "doc_id", {"source": 3}, 40)

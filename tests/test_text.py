@@ -103,3 +103,23 @@ def test_without_training_operators():
         code = "import __spark_entry__ as e; q = e.queries(); assert 'table1_profile' in q and 'pipeline' not in q; e.oracle_sql()"
         env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
         subprocess.run([sys.executable, "-c", code], cwd=t, env=env, check=True)
+
+
+def test_greedy_gap_sample_walks_all_rows(spark, tmp_path):
+    import random
+
+    from corpuslens.plans import catalogue
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["en", "en", "fr", None]), r.choice([None, "", " ", *[f"src{k}" for k in range(12)]])) for i in r.sample(range(9000), 2400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for lang in ("en", "fr", None):
+        used, took = {}, 0
+        for i, _, source in sorted((x for x in rows if x[1] == lang), key=lambda x: (-((x[0] * 37) % 101), x[0])):
+            if took < 40 and (not source or used.get(source, 0) < 3):
+                used[source] = used.get(source, 0) + 1
+                took += 1
+                want.add((i, lang, source))
+    got = catalogue()["greedy_gap_sample"][0](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(x["doc_id"], x["lang"], x["source"]) for x in got} == want
