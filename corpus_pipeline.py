@@ -15,6 +15,7 @@ from corpuslens.llm.common import scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5  # share of the text's windows' probability that the predicted language needs
+MIN_WORDS = 51  # of a repeated passage
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings of 400 bytes that start anywhere else too; texts left
-    without a word go."""
-    cut = repeats.remove_repeats(docs).select(F.col("doc_id").alias("id"), "n_removed", "kept")
+    """Removes runs of MIN_WORDS words that start anywhere else too; texts left without a word go."""
+    cut = repeats.cut_repeats(docs, repeats.repeated_word_spans(docs, MIN_WORDS)).select(F.col("doc_id").alias("id"), "n_removed", "kept")
     kept = docs.drop("n_chars").join(cut, docs["doc_id"] == cut["id"]).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     kept = kept.where(F.trim(F.translate("text", "\t\n\r", "   ")) != "")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

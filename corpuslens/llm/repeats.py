@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_groups, scratch, shuffle_partitions, text_buffers
-from .hashing import U, SpanHash, mix
+from .hashing import U, SpanHash, mix, word_spans
 from .suffix_array import permuted_prefixes, suffix_array
 
 GRAM, CORE = 16, 100
@@ -33,10 +33,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, offsets: np.ndarray, window: int, core: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of anchors in a group of texts, and each one's row."""
     n = len(data)
-    width = window - CORE + 1
+    width = window - core + 1
     hashes = SpanHash(data)
     at = np.arange(max(n - GRAM + 1, 0))
     value = np.full(-(-n // width) * width + width, np.iinfo(np.uint64).max, U)
@@ -105,10 +105,10 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "th", "s", "e"])
 
 
-def _fetch(docs: DataFrame, members: DataFrame, window: int) -> DataFrame:
+def _fetch(docs: DataFrame, members: DataFrame, window: int, core: int) -> DataFrame:
     """(shard, h, doc_id, th, pos, start, bytes): each text's contexts, joined where one shard gets
     overlapping ones (then h and pos are those of the first)."""
-    reach = window - CORE
+    reach = window - core
     wanted = members.groupBy(*KEY).agg(F.collect_list(F.struct("shard", "pos", "h")).alias("at"))
     joined = _keyed(docs).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.doc_id", "d.th", "d.text", "w.at")
 
@@ -144,14 +144,14 @@ def _fetch(docs: DataFrame, members: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(cut, "shard long, h long, doc_id long, th long, pos long, start long, bytes binary")
 
 
-def _hot_spans(contexts: DataFrame, window: int, step: int = 17) -> DataFrame:
+def _hot_spans(contexts: DataFrame, window: int, core: int, step: int = 17) -> DataFrame:
     """Repeated spans of contexts (h, doc_id, th, pos, start, bytes) by counts of window hashes.
 
     A window that starts x bytes before its anchor is compared with those of the same x. Windows x
     in [u, v]: if all they cover together occurs twice, all are repeated; if what they have in
     common occurs once, none is; else each is counted.
     """
-    reach = window - CORE
+    reach = window - core
 
     def pair(raw, s, e):
         a, b = SpanHash(raw), SpanHash(raw, 1)
@@ -217,14 +217,14 @@ def _hot_spans(contexts: DataFrame, window: int, step: int = 17) -> DataFrame:
     return spans.unionByName(found.select("doc_id", "th", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") - F.col("x") + window).alias("e")))
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512, core: int = CORE) -> DataFrame:
     """(doc_id, th, spans): byte spans covered by windows that start anywhere else too.
 
     docs(doc_id, text, ...); th is xxhash64(text) and names the row's text. Matches never cross
     documents. A text given in several rows, even with one doc_id, is repeated as a whole if it has
     ``window`` bytes. Null, empty and shorter texts have no spans and no row.
     """
-    reach = window - CORE
+    reach = window - core
 
     def anchors(batches):
         for batch in batches:
@@ -234,9 +234,9 @@ def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512) -> DataFr
                 own, offs = data[base : offsets[j]], offsets[i : j + 1] - base
                 if not len(own) or (np.diff(offs) < window).all():
                     continue
-                pos, row = _anchors(own, offs, window)
+                pos, row = _anchors(own, offs, window, core)
                 s, e = np.maximum(offs[row], pos - reach), np.minimum(offs[row + 1], pos + window)
-                h = SpanHash(own).of(pos, pos + CORE)
+                h = SpanHash(own).of(pos, pos + core)
                 ctx = mix(SpanHash(own, 1).of(s, e) + (pos - s).astype(U) * U(0x2545F4914F6CDD1D))
                 take = pa.array(row + i)
                 yield pa.record_batch([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(pos - offs[row]), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], ["doc_id", "th", "pos", "h", "ctx"])
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512) -> DataFr
     cores = cores.join(crowd, "group", "left").select("h", "n", F.when(F.col("large"), F.xxhash64("group", "h")).otherwise(F.col("group")).alias("shard"))
     members = contexts.join(cores, "h").select("h", "n", F.shiftrightunsigned("shard", 1).alias("shard"), "m.doc_id", "m.th", "m.pos")
     members = members.withColumn("shard", F.when(F.col("n") > hot, F.lit(-1)).otherwise(F.col("shard")))
-    fetched = scratch(_fetch(docs, members, window), "regions")
+    fetched = scratch(_fetch(docs, members, window, core), "regions")
 
     def sort_shards(batches):
         have, size, last = [], 0, None
@@ -274,10 +274,45 @@ def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512) -> DataFr
 
     dealt = fetched.where("shard >= 0").repartition(shuffle_partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
     sorted_ = dealt.select("shard", "doc_id", "th", "start", "bytes").mapInArrow(sort_shards, SPANS)
-    spans = whole.unionByName(sorted_).unionByName(_hot_spans(fetched.where("shard < 0"), window))
+    spans = whole.unionByName(sorted_).unionByName(_hot_spans(fetched.where("shard < 0"), window, core))
     return spans.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
+def repeated_word_spans(docs: DataFrame, words: int = 51, hot: int = 512) -> DataFrame:
+    """(doc_id, th, spans): byte spans of ``words`` consecutive words that start anywhere else too, byte
+    for byte with what stands between them.
+
+    Such a run has at least 2 * words - 1 bytes, so the repeated strings of that size hold them all;
+    the word windows inside these are then compared by the counts of 128-bit hashes.
+    """
+    window = 2 * words - 1
+    near = scratch(repeated_spans(docs, window, hot, core=window // 2), "near")
+    d, s = _keyed(docs).alias("d"), near.alias("s")
+    joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th"))).select("d.doc_id", "d.th", "d.text", "s.spans")
+
+    def windows(batches):
+        for batch in batches:
+            for x in range(batch.num_rows):
+                raw = np.frombuffer((batch.column("text")[x].as_py() or "").encode(), np.uint8)
+                own = batch.column("spans")[x].as_py()
+                s, e = _merged(np.array([y["s"] for y in own]), np.minimum([y["e"] for y in own], len(raw)))
+                begin, end, _ = word_spans(raw, np.array([0, len(raw)]))
+                if len(begin) < words:
+                    continue
+                a, b = begin[: len(begin) - words + 1], end[words - 1 :]
+                ok = b <= e[np.maximum(np.searchsorted(s, a, side="right") - 1, 0)]
+                ok &= a >= s[0]
+                a, b = a[ok], b[ok]
+                if len(a):
+                    h1, h2 = SpanHash(raw).of(a, b), SpanHash(raw, 1).of(a, b)
+                    same = pa.array(np.full(len(a), x))
+                    yield pa.record_batch([batch.column("doc_id").take(same), batch.column("th").take(same), pa.array(a), pa.array(b), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "th", "s", "e", "h1", "h2"])
+
+    found = scratch(joined.mapInArrow(windows, SPANS + ", h1 long, h2 long"), "word_windows")
+    twice = found.groupBy("h1", "h2").count().where("count > 1").drop("count")
+    return found.join(twice, ["h1", "h2"], "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+
+
 def cut_repeats(docs: DataFrame, spans: DataFrame, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): texts without the given spans.
 

@@ -68,6 +68,37 @@ def test_repeats(spark, hot):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeated_passage_stage(spark, hot, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    word = lambda low, high: "".join(r.choice("abcdefghij") for _ in range(r.randint(low, high)))
+    fill = lambda n: " ".join(word(3, 9) for _ in range(n))
+    texts = []
+    for n in (49, 50, 51, 52, 55, 60, 90):
+        for low, high in ((1, 1), (1, 9), (4, 6)):
+            shared = " ".join(word(low, high) for _ in range(n))
+            texts += [f"{fill(20)} {shared} {fill(8)}", f"{fill(5)}\n{shared} {fill(30)}"]
+    half, other = fill(40), fill(40)
+    texts += [f"{half} {other}", f"{half} {fill(30)}", f"{fill(30)} {other}", "x " * 60, fill(51), fill(30)]
+    texts.append(texts[-2])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    windows = [[(w[k][0], w[k + 50][1]) for k in range(len(w) - 50)] for w in spans]
+    count = Counter(t[a:b] for t, own in zip(texts, windows) for a, b in own)
+    want = {}
+    for i, (t, own) in enumerate(zip(texts, windows)):
+        gone = {x for a, b in own if count[t[a:b]] > 1 for x in range(a, b)}
+        kept = "".join(c for x, c in enumerate(t) if x not in gone)
+        if kept.strip():
+            want[i] = kept
+    assert sum(len(want.get(i, "")) < len(t) for i, t in enumerate(texts)) > 20
+    monkeypatch.setattr(repeats.repeated_word_spans, "__defaults__", (51, hot))
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.repeated_passage_stage(spark, docs, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def brute_components(rows, k, percent):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     sets = {}
