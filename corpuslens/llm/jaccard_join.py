@@ -11,7 +11,8 @@ sets of each bucket (those whose buckets are fullest: copies of one text differ
 than from each other), then all pairs of a bucket. The later rounds take pairs that are still in different
 components and whose sketches (the parity of the tokens in each of 256 classes) differ in no more
 places than the linked sets may differ in tokens. Nothing is capped: links that could join
-components are all verified.
+components are all verified. The result is the components only: pairs already in one component are
+skipped, so neither the links nor their number come out.
 """
 
 from __future__ import annotations
