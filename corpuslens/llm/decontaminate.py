@@ -1,11 +1,11 @@
-"""Benchmark decontamination by size-partitioned MinHash containment, in DataFrame functions alone.
+"""Benchmark decontamination by MinHash containment, in DataFrame functions alone.
 
 A text's shingles are ordered by one hash; a MinHash sketch is its smallest ones. An item of n
 shingles whose containment in a document reaches the threshold t misses at most n - ceil(t n) of
 them, so one of its n - ceil(t n) + 1 smallest must be in the document: sketches of that size, which
-depends on the item's size, lose nothing. Items are partitioned by size class; a class looks only
-at documents large enough to contain its smallest item, and only at shingle hashes up to the largest
-in its sketches. Candidates are verified on the shingles themselves.
+depends on the item's size, lose nothing. Items are not partitioned by size: one largest sketch hash
+serves all of them, and the smallest document size is kept by hash. Candidates are verified on the
+shingles themselves.
 """
 
 from __future__ import annotations
