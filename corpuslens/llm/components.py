@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import discard, scratch
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -21,10 +21,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         heard = edges.join(labels, edges.s == labels.node).groupBy(F.col("d").alias("node")).agg(F.min("component").alias("heard"))
         better = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("c"))
-        better = scratch(better, "heard")
+        better = scratch(better, "heard", [labels])
         up = better.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         jumped = better.join(up, "c", "left").select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("component"))
-        jumped = scratch(jumped, "labels")
+        jumped = scratch(jumped, "labels", [better])
         labels = jumped.select("node", "component")
         if jumped.where("old <> component").isEmpty():
+            discard(edges)
             return labels
+        labels.__dict__["scratch_path"] = jumped.__dict__.pop("scratch_path")

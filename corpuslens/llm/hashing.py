@@ -39,13 +39,13 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         have = (made[0], made[1])
-        if size <= 4 * PIECE:
+        if size <= PIECE + 1024:
             _tables[which] = have
     return have
 
 
 class SpanHash:
-    """Hashes of arbitrary spans of one byte buffer."""
+    """Hashes of arbitrary spans of one sequence of bytes or of other unsigned numbers."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         power, self.inverse = _powers(len(data) + 1, which)
@@ -80,9 +80,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word. Works in pieces of bounded size, cut between words."""
-    start, end, row = word_spans(data, offsets)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, spans: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word. Works in pieces of bounded size, cut between words. spans: those of
+    ``word_spans``, where they are known."""
+    start, end, row = spans or word_spans(data, offsets)
     out = np.empty(len(start), U)
     i = 0
     while i < len(start):

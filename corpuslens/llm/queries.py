@@ -62,7 +62,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    return found.withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

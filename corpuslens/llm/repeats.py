@@ -1,46 +1,62 @@
-"""Removal of repeated byte strings with sharded suffix arrays.
-
-Every window of WINDOW bytes contains an anchor: the leftmost smallest 16-byte hash among its first
-WINDOW - CORE + 1 positions, which depends on the window's bytes alone. So two equal windows share
-an anchor whose CORE following bytes are equal too. Anchors whose core occurs once anywhere are
-dropped; an anchor's context (all bytes that any window round it can reach) that occurs twice or
-more is repeated as a whole. Only contexts that share a core but differ go on: the distinct ones
-are dealt to shards that hold all contexts of a core, suffix-sorted by induced sorting, and a window
-is repeated if its permuted common prefix, or its successor's, reaches WINDOW. Cores with more than
-``hot`` distinct contexts would make a shard too large; their windows are compared by the counts of
-128-bit hashes, whole intervals of windows first and single windows where an interval is in doubt.
+"""Removal of repeated strings, of bytes or of words, with sharded suffix arrays.
+
+A text is a sequence of symbols: its bytes, or the hashes of its words. Every window of WINDOW symbols
+contains an anchor: the leftmost smallest hash of a few symbols among its first WINDOW - CORE + 1
+positions, which depends on the window alone. So two equal windows share an anchor whose CORE
+following symbols are equal too. Anchors whose core occurs once anywhere are dropped; an anchor's
+context (all symbols that any window round it can reach) that occurs twice or more is repeated as a
+whole, and one of its copies goes on. Contexts that share a core but differ are dealt to shards that
+hold all contexts of a core, suffix-sorted by induced sorting, and a window is repeated if its
+permuted common prefix, or its successor's, reaches WINDOW. A shard has a bounded size; cores with
+more than ``hot`` distinct contexts would break it, so their windows are compared by the counts of
+128-bit hashes, whole intervals of windows first and single windows where an interval is in doubt:
+the same windows are found either way. A core or context that a large share of all anchors has is
+joined where its rows are (``join_skewed``).
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_groups, scratch, shuffle_partitions, text_buffers
-from .hashing import U, SpanHash, mix, word_spans
+from .common import doc_groups, join_skewed, lean, scratch, shuffle_partitions, text_buffers
+from .hashing import U, SpanHash, mix, word_hashes, word_spans
 from .suffix_array import permuted_prefixes, suffix_array
 
-GRAM, CORE = 16, 100
-SHARD_BYTES = 3 << 20
+BYTES, WORDS = "bytes", "words"
+GRAM = {BYTES: 16, WORDS: 2}  # symbols of an anchor
+CORE = {BYTES: 100, WORDS: 16}
+STEP = {BYTES: 17, WORDS: 6}  # windows in an interval of a hot core
+KIND = {BYTES: np.uint8, WORDS: np.uint64}
+SHARD_BYTES = 3 << 19
 KEY = ["doc_id", "th"]
 
 
+def _sequence(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a group of texts and each text's first one. Words are compared in lower case."""
+    if unit == BYTES:
+        return data, offsets
+    words, row = word_hashes(data, offsets)
+    return words, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1))])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, window: int, core: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, offsets: np.ndarray, window: int, core: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of anchors in a group of texts, and each one's row."""
     n = len(data)
     width = window - core + 1
     hashes = SpanHash(data)
-    at = np.arange(max(n - GRAM + 1, 0))
+    at = np.arange(max(n - gram + 1, 0))
     value = np.full(-(-n // width) * width + width, np.iinfo(np.uint64).max, U)
-    value[: len(at)] = (mix(hashes.raw(at, at + GRAM)) & ~U(0xFFFFFFFF)) | at.astype(U)
+    value[: len(at)] = (mix(hashes.raw(at, at + gram)) & ~U(0xFFFFFFFF)) | at.astype(U)
     blocks = value.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -61,28 +77,45 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[first], end[np.r_[first[1:] - 1, len(end) - 1]]
 
 
-def _shard_spans(regions: list[tuple], window: int) -> list[tuple]:
-    """Repeated spans among regions (key, start, bytes), where equal keys mean the same text."""
+def _join_regions(regions: list[tuple]) -> tuple[list[np.ndarray], list[tuple]]:
+    """Regions (key, start, symbols), where equal keys mean the same text, with those that overlap
+    made one: the pieces, and the (key, start) of each."""
     by_text: dict = {}
-    for key, start, raw in regions:
-        by_text.setdefault(key, []).append((start, raw))
+    for key, start, symbols in regions:
+        by_text.setdefault(key, []).append((start, symbols))
     pieces, where = [], []
     for key, own in by_text.items():
         own.sort(key=lambda x: x[0])
-        start, made = own[0][0], bytearray(own[0][1])
-        for s, raw in own[1:]:
-            if s <= start + len(made):
-                made += raw[max(0, start + len(made) - s) :]
-            else:
-                pieces.append(bytes(made))
-                where.append((key, start))
-                start, made = s, bytearray(raw)
-        pieces.append(bytes(made))
+        parts, start, end = [], None, -1
+        for s, symbols in own:
+            if s > end:
+                if parts:
+                    pieces.append(np.concatenate(parts))
+                    where.append((key, start))
+                parts, start, end = [], s, s
+            parts.append(symbols[end - s :])
+            end = max(end, s + len(symbols))
+        pieces.append(np.concatenate(parts))
         where.append((key, start))
-    t = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
+    return pieces, where
+
+
+def _shard_spans(regions: list[tuple], window: int, unit: str) -> list[tuple]:
+    """Repeated spans among regions (key, start, symbols)."""
+    pieces, where = _join_regions(regions)
     sizes = np.array([len(p) for p in pieces])
     begins = np.cumsum(sizes + 1) - sizes - 1
-    sa = suffix_array(t, 256)
+    ends = np.zeros(sizes.sum() + len(sizes), bool)  # after each piece stands a symbol that no text has
+    ends[begins + sizes] = True
+    symbols = np.concatenate(pieces)
+    if unit == BYTES:
+        t, k = np.full(len(ends), 0xFF, np.uint8), 256
+        t[~ends] = symbols
+    else:
+        names, ranks = np.unique(symbols, return_inverse=True)
+        t, k = np.zeros(len(ends), np.int64), len(names) + 1
+        t[~ends] = ranks + 1
+    sa = suffix_array(t, k)
     prefix = permuted_prefixes(t, sa)
     following = np.zeros(len(t), np.int64)
     following[sa[:-1]] = prefix[sa[1:]]
@@ -105,8 +138,8 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "th", "s", "e"])
 
 
-def _fetch(docs: DataFrame, members: DataFrame, window: int, core: int) -> DataFrame:
-    """(shard, h, doc_id, th, pos, start, bytes): each text's contexts, joined where one shard gets
+def _fetch(docs: DataFrame, members: DataFrame, window: int, core: int, unit: str) -> DataFrame:
+    """(shard, h, doc_id, th, pos, start, symbols): each text's contexts, joined where one shard gets
     overlapping ones (then h and pos are those of the first)."""
     reach = window - core
     wanted = members.groupBy(*KEY).agg(F.collect_list(F.struct("shard", "pos", "h")).alias("at"))
@@ -115,43 +148,45 @@ def _fetch(docs: DataFrame, members: DataFrame, window: int, core: int) -> DataF
     def cut(batches):
         seen = set()
         for batch in batches:
-            rows = []
-            texts = batch.column("text")
-            for x in range(batch.num_rows):
-                key = (batch.column("doc_id")[x].as_py(), batch.column("th")[x].as_py())
-                if key in seen:
-                    continue
-                seen.add(key)
-                raw = (texts[x].as_py() or "").encode()
-                at = sorted((p["shard"], p["pos"], p["h"]) for p in batch.column("at")[x].as_py())
-                open_ = None
-                for shard, pos, h in at:
-                    s, e = max(0, pos - reach), min(len(raw), pos + window)
-                    if open_ and open_[0] == shard and shard >= 0 and s <= open_[4]:
-                        open_[4] = e
+            data, offsets = text_buffers(batch.column("text"))
+            for i, j in doc_groups(offsets):
+                own, offs = _sequence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
+                rows = []
+                for x in range(i, j):
+                    key = (batch.column("doc_id")[x].as_py(), batch.column("th")[x].as_py())
+                    if key in seen:
                         continue
+                    seen.add(key)
+                    text = own[offs[x - i] : offs[x - i + 1]]
+                    open_ = None
+                    for shard, pos, h in sorted((p["shard"], p["pos"], p["h"]) for p in batch.column("at")[x].as_py()):
+                        s, e = max(0, pos - reach), min(len(text), pos + window)
+                        if open_ and open_[0] == shard and shard >= 0 and s <= open_[4]:
+                            open_[4] = e
+                            continue
+                        if open_:
+                            rows.append((open_, key, text[open_[3] : open_[4]].tobytes()))
+                        open_ = [shard, h, pos, s, e]
                     if open_:
-                        rows.append((open_, key, raw[open_[3] : open_[4]]))
-                    open_ = [shard, h, pos, s, e]
-                if open_:
-                    rows.append((open_, key, raw[open_[3] : open_[4]]))
-            if rows:
-                yield pa.record_batch(
-                    [pa.array(v, t) for v, t in (([r[0][0] for r in rows], pa.int64()), ([r[0][1] for r in rows], pa.int64()), ([r[1][0] for r in rows], pa.int64()), ([r[1][1] for r in rows], pa.int64()), ([r[0][2] for r in rows], pa.int64()), ([r[0][3] for r in rows], pa.int64()), ([r[2] for r in rows], pa.binary()))],
-                    ["shard", "h", "doc_id", "th", "pos", "start", "bytes"],
-                )
+                        rows.append((open_, key, text[open_[3] : open_[4]].tobytes()))
+                if rows:
+                    yield pa.record_batch(
+                        [pa.array(v, t) for v, t in (([r[0][0] for r in rows], pa.int64()), ([r[0][1] for r in rows], pa.int64()), ([r[1][0] for r in rows], pa.int64()), ([r[1][1] for r in rows], pa.int64()), ([r[0][2] for r in rows], pa.int64()), ([r[0][3] for r in rows], pa.int64()), ([r[2] for r in rows], pa.binary()))],
+                        ["shard", "h", "doc_id", "th", "pos", "start", "symbols"],
+                    )
 
-    return joined.mapInArrow(cut, "shard long, h long, doc_id long, th long, pos long, start long, bytes binary")
+    return joined.mapInArrow(lean(cut), "shard long, h long, doc_id long, th long, pos long, start long, symbols binary")
 
 
-def _hot_spans(contexts: DataFrame, window: int, core: int, step: int = 17) -> DataFrame:
-    """Repeated spans of contexts (h, doc_id, th, pos, start, bytes) by counts of window hashes.
+def _hot_spans(contexts: DataFrame, window: int, core: int, unit: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Repeated spans of contexts (h, doc_id, th, pos, start, symbols) by counts of window hashes, and
+    the scratch tables that they are read from.
 
-    A window that starts x bytes before its anchor is compared with those of the same x. Windows x
+    A window that starts x symbols before its anchor is compared with those of the same x. Windows x
     in [u, v]: if all they cover together occurs twice, all are repeated; if what they have in
     common occurs once, none is; else each is counted.
     """
-    reach = window - core
+    reach, step, kind = window - core, STEP[unit], KIND[unit]
 
     def pair(raw, s, e):
         a, b = SpanHash(raw), SpanHash(raw, 1)
@@ -161,7 +196,7 @@ def _hot_spans(contexts: DataFrame, window: int, core: int, step: int = 17) -> D
         for batch in batches:
             out = {k: [] for k in ("row", "u", "v", "c1", "c2", "u1", "u2")}
             for x in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("bytes")[x].as_buffer(), np.uint8)
+                raw = np.frombuffer(batch.column("symbols")[x].as_buffer(), kind)
                 at = batch.column("pos")[x].as_py() - batch.column("start")[x].as_py()
                 least, most = max(0, at + window - len(raw)), min(reach, at)
                 u = np.arange(0, reach + 1, step)
@@ -179,21 +214,22 @@ def _hot_spans(contexts: DataFrame, window: int, core: int, step: int = 17) -> D
             take = pa.array(out["row"], pa.int64())
             yield pa.record_batch([batch.column(c).take(take) for c in ("h", "doc_id", "th", "pos")] + [pa.array(out[k], pa.int64()) for k in ("u", "v", "c1", "c2", "u1", "u2")], ["h", "doc_id", "th", "pos", "u", "v", "c1", "c2", "u1", "u2"])
 
-    nodes = scratch(contexts.select("h", "doc_id", "th", "pos", "start", "bytes").mapInArrow(intervals, "h long, doc_id long, th long, pos long, u long, v long, c1 long, c2 long, u1 long, u2 long"), "nodes")
-    whole = nodes.where("u1 IS NOT NULL").groupBy("h", "u", "u1", "u2").count().where("count > 1").drop("count")
-    common = nodes.groupBy("h", "u", "c1", "c2").count().where("count > 1").drop("count")
-    sure = nodes.join(whole, ["h", "u", "u1", "u2"], "left_semi")
+    nodes = scratch(contexts.select("h", "doc_id", "th", "pos", "start", "symbols").mapInArrow(lean(intervals), "h long, doc_id long, th long, pos long, u long, v long, c1 long, c2 long, u1 long, u2 long"), "nodes")
+    count = lambda rows, keys, name: scratch(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1"), name)
+    all_, middle = ["h", "u", "u1", "u2"], ["h", "u", "c1", "c2"]
+    whole, common = count(nodes.where("u1 IS NOT NULL"), all_, "equal"), count(nodes, middle, "common")
+    sure = join_skewed(nodes, whole, all_, "rows", "left_semi")
     spans = sure.select("doc_id", "th", (F.col("pos") - F.col("v")).alias("s"), (F.col("pos") - F.col("u") + window).alias("e"))
-    doubt = nodes.join(common, ["h", "u", "c1", "c2"], "left_semi").join(whole, ["h", "u", "u1", "u2"], "left_anti")
+    doubt = join_skewed(join_skewed(nodes, common, middle, "rows", "left_semi"), whole, all_, "rows", "left_anti")
     doubt = doubt.groupBy("h", *KEY, "pos").agg(F.collect_list("u").alias("us"))
     c, d = contexts.alias("c"), doubt.alias("d")
-    again = c.join(d, F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("c.th") == F.col("d.th")) & (F.col("c.h") == F.col("d.h")) & (F.col("c.pos") == F.col("d.pos"))).select("c.h", "c.doc_id", "c.th", "c.pos", "c.start", "c.bytes", "d.us")
+    again = c.join(d, F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("c.th") == F.col("d.th")) & (F.col("c.h") == F.col("d.h")) & (F.col("c.pos") == F.col("d.pos"))).select("c.h", "c.doc_id", "c.th", "c.pos", "c.start", "c.symbols", "d.us")
 
     def singles(batches):
         for batch in batches:
             rows, xs, h1, h2 = [], [], [], []
             for x in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("bytes")[x].as_buffer(), np.uint8)
+                raw = np.frombuffer(batch.column("symbols")[x].as_buffer(), kind)
                 at = batch.column("pos")[x].as_py() - batch.column("start")[x].as_py()
                 w = np.concatenate([np.arange(u, min(u + step, reach + 1)) for u in batch.column("us")[x].as_py()])
                 w = w[(w >= max(0, at + window - len(raw))) & (w <= min(reach, at))]
@@ -205,139 +241,125 @@ def _hot_spans(contexts: DataFrame, window: int, core: int, step: int = 17) -> D
             take = pa.array(rows, pa.int64())
             yield pa.record_batch([batch.column(c).take(take) for c in ("h", "doc_id", "th", "pos")] + [pa.array(k, pa.int64()) for k in (xs, h1, h2)], ["h", "doc_id", "th", "pos", "x", "h1", "h2"])
 
-    ones = scratch(again.mapInArrow(singles, "h long, doc_id long, th long, pos long, x long, h1 long, h2 long"), "windows")
+    ones = scratch(again.mapInArrow(lean(singles), "h long, doc_id long, th long, pos long, x long, h1 long, h2 long"), "windows")
     # a doubtful window may equal one inside a sure interval: those are counted with it
     near = ones.select("h").distinct()
     one_each = sure.groupBy("h", "u", "u1", "u2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("m")).select("h", "m.doc_id", "m.th", "m.pos", "u").groupBy("h", *KEY, "pos").agg(F.collect_list("u").alias("us"))
     o = one_each.alias("d")
-    sure_ctx = c.join(o, F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("c.th") == F.col("d.th")) & (F.col("c.h") == F.col("d.h")) & (F.col("c.pos") == F.col("d.pos"))).select("c.h", "c.doc_id", "c.th", "c.pos", "c.start", "c.bytes", "d.us")
-    known = sure_ctx.join(near, "h", "left_semi").mapInArrow(singles, "h long, doc_id long, th long, pos long, x long, h1 long, h2 long")
-    twice = ones.unionByName(known).groupBy("h", "x", "h1", "h2").count().where("count > 1").drop("count")
-    found = ones.join(twice, ["h", "x", "h1", "h2"], "left_semi")
-    return spans.unionByName(found.select("doc_id", "th", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") - F.col("x") + window).alias("e")))
+    sure_ctx = c.join(o, F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("c.th") == F.col("d.th")) & (F.col("c.h") == F.col("d.h")) & (F.col("c.pos") == F.col("d.pos"))).select("c.h", "c.doc_id", "c.th", "c.pos", "c.start", "c.symbols", "d.us")
+    known = sure_ctx.join(near, "h", "left_semi").mapInArrow(lean(singles), "h long, doc_id long, th long, pos long, x long, h1 long, h2 long")
+    twice = count(ones.unionByName(known), ["h", "x", "h1", "h2"], "twice")
+    found = join_skewed(ones, twice, ["h", "x", "h1", "h2"], "rows", "left_semi")
+    spans = spans.unionByName(found.select("doc_id", "th", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") - F.col("x") + window).alias("e")))
+    return spans, [nodes, whole, common, ones, twice]
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512, core: int = CORE) -> DataFrame:
-    """(doc_id, th, spans): byte spans covered by windows that start anywhere else too.
+def repeated_spans(docs: DataFrame, window: int = 400, hot: int = 512, core: int | None = None, unit: str = BYTES) -> DataFrame:
+    """(doc_id, th, spans): spans, in symbols, covered by windows that start anywhere else too.
 
     docs(doc_id, text, ...); th is xxhash64(text) and names the row's text. Matches never cross
     documents. A text given in several rows, even with one doc_id, is repeated as a whole if it has
-    ``window`` bytes. Null, empty and shorter texts have no spans and no row.
+    ``window`` symbols. Null, empty and shorter texts have no spans and no row.
     """
-    reach = window - core
+    core = CORE[unit] if core is None else core
+    reach, gram, width = window - core, GRAM[unit], KIND[unit]().itemsize
 
     def anchors(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in doc_groups(offsets):
-                base = offsets[i]
-                own, offs = data[base : offsets[j]], offsets[i : j + 1] - base
+                own, offs = _sequence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
                 if not len(own) or (np.diff(offs) < window).all():
                     continue
-                pos, row = _anchors(own, offs, window, core)
+                pos, row = _anchors(own, offs, window, core, gram)
                 s, e = np.maximum(offs[row], pos - reach), np.minimum(offs[row + 1], pos + window)
                 h = SpanHash(own).of(pos, pos + core)
                 ctx = mix(SpanHash(own, 1).of(s, e) + (pos - s).astype(U) * U(0x2545F4914F6CDD1D))
                 take = pa.array(row + i)
                 yield pa.record_batch([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(pos - offs[row]), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], ["doc_id", "th", "pos", "h", "ctx"])
 
-    found = scratch(_keyed(docs).mapInArrow(anchors, "doc_id long, th long, pos long, h long, ctx long"), "anchors")
-    again = found.groupBy("h").count().where("count > 1").select("h")
-    found = scratch(found.join(again, "h", "left_semi"), "repeated")
-    contexts = scratch(found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "pos")).alias("m")), "contexts")
-    whole = found.join(contexts.where("c > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
-    whole = whole.select("doc_id", "th", F.greatest(F.lit(0), F.col("pos") - reach).alias("s"), (F.col("pos") + window).alias("e"))
+    found = scratch(_keyed(docs).mapInArrow(lean(anchors), "doc_id long, th long, pos long, h long, ctx long"), "anchors")
+    again = scratch(found.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "cores")
+    found = scratch(join_skewed(found, again, ["h"], "rows", "left_semi"), "repeated", [found])
+    contexts = scratch(found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "pos")).alias("m")), "contexts", [again])
+    whole = join_skewed(found, scratch(contexts.where("c > 1").select("h", "ctx", "c"), "copies"), ["h", "ctx"], "c", "left_semi")
+    whole = scratch(whole.select("doc_id", "th", F.greatest(F.lit(0), F.col("pos") - reach).alias("s"), (F.col("pos") + window).alias("e")), "whole", [found])
 
     cores = contexts.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("m.doc_id", "m.th").cast("decimal(38,0)")).alias("who"))
-    cores = cores.where("n > 1").select("h", "n", F.xxhash64("who", "n").alias("group"))
-    crowd = cores.groupBy("group").agg(F.sum("n").alias("total")).where(F.col("total") * (window + reach) > 2 * SHARD_BYTES).select("group", F.lit(True).alias("large"))
-    cores = cores.join(crowd, "group", "left").select("h", "n", F.when(F.col("large"), F.xxhash64("group", "h")).otherwise(F.col("group")).alias("shard"))
-    members = contexts.join(cores, "h").select("h", "n", F.shiftrightunsigned("shard", 1).alias("shard"), "m.doc_id", "m.th", "m.pos")
-    members = members.withColumn("shard", F.when(F.col("n") > hot, F.lit(-1)).otherwise(F.col("shard")))
-    fetched = scratch(_fetch(docs, members, window, core), "regions")
+    cores = scratch(cores.where("n > 1").select("h", "n", F.xxhash64("who", "n").alias("group")), "cores")
+    crowd = cores.groupBy("group").agg(F.sum("n").alias("total")).where(F.col("total") * (window + reach) * width > 2 * SHARD_BYTES).select("group", F.lit(True).alias("large"))
+    shard = F.when(F.col("n") > hot, F.lit(-1)).otherwise(F.shiftrightunsigned(F.when(F.col("large"), F.xxhash64("group", "h")).otherwise(F.col("group")), 1))
+    dealt = scratch(cores.join(crowd, "group", "left").select("h", "n", shard.alias("shard")), "dealt", [cores])
+    members = join_skewed(contexts.select("h", "m.doc_id", "m.th", "m.pos"), dealt, ["h"], "n")
+    fetched = scratch(_fetch(docs, members, window, core, unit), "regions", [contexts, dealt])
 
     def sort_shards(batches):
-        have, size, last = [], 0, None
+        have, size, open_, own, shard = [], 0, [], 0, None
         for batch in batches:
             out = []
-            for shard, doc, th, start, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "th", "start", "bytes")), strict=True):
-                if shard != last and size >= SHARD_BYTES:
-                    out += _shard_spans(have, window)
-                    have, size = [], 0
-                last = shard
-                have.append(((doc, th), start, raw))
-                size += len(raw)
+            for at, doc, th, start, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "th", "start", "symbols")), strict=True):
+                if at != shard:
+                    if have and size + own > SHARD_BYTES:
+                        out += _shard_spans(have, window, unit)
+                        have, size = [], 0
+                    have, size = have + open_, size + own
+                    open_, own, shard = [], 0, at
+                open_.append(((doc, th), start, np.frombuffer(raw, KIND[unit])))
+                own += len(raw)
             if out:
                 yield _span_batch(out)
-        if have:
-            yield _span_batch(_shard_spans(have, window))
+        for part in ([have, open_] if size + own > SHARD_BYTES else [have + open_]):
+            if part:
+                yield _span_batch(_shard_spans(part, window, unit))
 
-    dealt = fetched.where("shard >= 0").repartition(shuffle_partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
-    sorted_ = dealt.select("shard", "doc_id", "th", "start", "bytes").mapInArrow(sort_shards, SPANS)
-    spans = whole.unionByName(sorted_).unionByName(_hot_spans(fetched.where("shard < 0"), window, core))
-    return spans.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    shards = fetched.where("shard >= 0").repartition(shuffle_partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
+    sorted_ = shards.select("shard", "doc_id", "th", "start", "symbols").mapInArrow(lean(sort_shards), SPANS)
+    hot_spans, read = _hot_spans(fetched.where("shard < 0"), window, core, unit)
+    spans = whole.unionByName(sorted_).unionByName(hot_spans)
+    return scratch(spans.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans", [fetched, whole, *read])
 
 
 def repeated_word_spans(docs: DataFrame, words: int = 51, hot: int = 512) -> DataFrame:
-    """(doc_id, th, spans): byte spans of ``words`` consecutive words that start anywhere else too, byte
-    for byte with what stands between them.
+    """(doc_id, th, spans): spans, in words, of runs of ``words`` words that start anywhere else too.
+    Words are compared in lower case; the white space between them does not count."""
+    return repeated_spans(docs, words, hot, unit=WORDS)
 
-    Such a run has at least 2 * words - 1 bytes, so the repeated strings of that size hold them all;
-    the word windows inside these are then compared by the counts of 128-bit hashes.
-    """
-    window = 2 * words - 1
-    near = scratch(repeated_spans(docs, window, hot, core=window // 2), "near")
-    d, s = _keyed(docs).alias("d"), near.alias("s")
-    joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th"))).select("d.doc_id", "d.th", "d.text", "s.spans")
 
-    def windows(batches):
-        for batch in batches:
-            for x in range(batch.num_rows):
-                raw = np.frombuffer((batch.column("text")[x].as_py() or "").encode(), np.uint8)
-                own = batch.column("spans")[x].as_py()
-                s, e = _merged(np.array([y["s"] for y in own]), np.minimum([y["e"] for y in own], len(raw)))
-                begin, end, _ = word_spans(raw, np.array([0, len(raw)]))
-                if len(begin) < words:
-                    continue
-                a, b = begin[: len(begin) - words + 1], end[words - 1 :]
-                ok = b <= e[np.maximum(np.searchsorted(s, a, side="right") - 1, 0)]
-                ok &= a >= s[0]
-                a, b = a[ok], b[ok]
-                if len(a):
-                    h1, h2 = SpanHash(raw).of(a, b), SpanHash(raw, 1).of(a, b)
-                    same = pa.array(np.full(len(a), x))
-                    yield pa.record_batch([batch.column("doc_id").take(same), batch.column("th").take(same), pa.array(a), pa.array(b), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "th", "s", "e", "h1", "h2"])
+def cut_repeats(docs: DataFrame, spans: DataFrame, keep_text: bool = True, unit: str = BYTES, extra: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, *extra): texts without the given spans.
 
-    found = scratch(joined.mapInArrow(windows, SPANS + ", h1 long, h2 long"), "word_windows")
-    twice = found.groupBy("h1", "h2").count().where("count > 1").drop("count")
-    return found.join(twice, ["h1", "h2"], "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-
-
-def cut_repeats(docs: DataFrame, spans: DataFrame, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): texts without the given spans.
-
-    kept is the remaining bytes as text; a character cut in two loses its other bytes. A row per
-    input row; without keep_text, kept is null. A null text counts as empty.
+    n_removed counts bytes. kept is the remaining bytes as text; a character cut in two, which spans
+    of words never do, loses its other bytes. A row per input row, with its own columns ``extra``;
+    without keep_text, kept is null. A null text counts as empty.
     """
+    extra = [c for c in extra if c != "doc_id"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 n = removed = 0
                 kept = raw
                 if own:
-                    s, e = _merged(np.array([x["s"] for x in own]), np.minimum([x["e"] for x in own], len(raw)))
+                    s, e = _merged(np.array([x["s"] for x in own]), np.array([x["e"] for x in own]))
+                    if unit == WORDS:
+                        begin, end, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                        s, e = begin[s], end[np.minimum(e, len(end)) - 1]
+                    e = np.minimum(e, len(raw))
                     n, removed = len(s), int((e - s).sum())
                     kept = b"".join(raw[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True))
-                rows.append((doc, len(raw), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    d, s = _keyed(docs).alias("d"), spans.alias("s")
-    joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d.th").eqNullSafe(F.col("s.th")), "left").select("d.doc_id", "d.text", "s.spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                rows.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.record_batch([batch.column("doc_id"), *columns, *[batch.column(f"x_{c}") for c in extra]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *extra])
+
+    kinds = dict(docs.dtypes)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *[F.col(c).alias(f"x_{c}") for c in extra])
+    d, s = own.alias("d"), spans.alias("s")
+    joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d.th").eqNullSafe(F.col("s.th")), "left").select("d.doc_id", "d.text", "s.spans", *[f"d.x_{c}" for c in extra])
+    shape = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *[f"`{c}` {kinds[c]}" for c in extra]])
+    return joined.mapInArrow(lean(run), shape)
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, hot: int = 512, keep_text: bool = True) -> DataFrame:

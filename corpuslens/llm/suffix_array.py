@@ -2,8 +2,8 @@
 
 Suffixes are classified as larger (L) or smaller (S) than their successor. Leftmost S suffixes (LMS)
 are put in order, recursively on their ranks where two are equal, and induce the order of all
-others in two linear passes. On the byte level a pass handles one bucket at a time as whole arrays;
-the recursion, whose alphabet is large and whose text is about a third as long, walks plain lists.
+others in two linear passes. Where t holds bytes a pass handles one bucket at a time as whole arrays;
+the recursion and sequences of words, whose alphabets are large, walk plain lists.
 """
 
 from __future__ import annotations
@@ -169,25 +169,25 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     return induce(t, small, k, order)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with its predecessor in suffix order, by text position.
+def _common_numbers(t: np.ndarray, live: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many numbers from each live position on agree with those from its predecessor on."""
+    n, out, step = len(t), np.zeros(len(t), np.int64), 0
+    while len(live):
+        a, b = live + step, before[live] + step
+        inside = np.maximum(a, b) < n
+        equal = inside & (t[np.minimum(a, n - 1)] == t[np.minimum(b, n - 1)])
+        out[live[~equal]] = step
+        live = live[equal]
+        step += 1
+    return out
 
-    Where the preceding characters agree the value is its left neighbour's less one; only the other
-    positions are compared, eight bytes a step. t holds bytes.
-    """
+
+def _common_bytes(t: np.ndarray, live: np.ndarray, before: np.ndarray) -> np.ndarray:
     n = len(t)
-    if n == 0:
-        return np.empty(0, np.int64)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    i = np.arange(n)
-    fresh = np.ones(n, bool)
-    fresh[1:] = ~((before[1:] > 0) & (t[:-1] == t[np.maximum(before[1:], 1) - 1]))
-    padded = np.concatenate([t, np.zeros(16, np.uint8)]).astype(np.uint8)
-    words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n + 8, 8), (1, 1))
+    padded = np.concatenate([t, np.zeros(16, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (n + 8, 8), (1, 1))
     words = np.ascontiguousarray(words).view(np.uint64).ravel()
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(fresh & (before >= 0))
     step = 0
     while len(live):
         a, b = live + step, before[live] + step
@@ -204,5 +204,24 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
             out[stop] = step + got
         live = live[equal]
         step += 8
+    return out
+
+
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with its predecessor in suffix order, by text position.
+
+    Where the preceding characters agree the value is its left neighbour's less one; only the other
+    positions are compared, eight bytes a step, or one number a step where t holds no bytes.
+    """
+    n = len(t)
+    if n == 0:
+        return np.empty(0, np.int64)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    i = np.arange(n)
+    fresh = np.ones(n, bool)
+    fresh[1:] = ~((before[1:] > 0) & (t[:-1] == t[np.maximum(before[1:], 1) - 1]))
+    live = np.flatnonzero(fresh & (before >= 0))
+    out = _common_bytes(t, live, before) if t.dtype == np.uint8 else _common_numbers(t, live, before)
     start = np.maximum.accumulate(np.where(fresh, i, 0))
     return np.where(before >= 0, out[start] - (i - start), 0)
