@@ -1,11 +1,15 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 Tokens are a document's distinct word shingles. Documents with the same token set form one class
-and only its smallest id goes on. Tokens are ordered by document frequency, rare first; two sets
-with Jaccard >= t share at least two tokens of their extended prefixes (n - ceil(t n) + 2 tokens).
-Rare tokens are indexed singly, tokens of the frequent class only in pairs, so a passage in a third
-of all documents makes no bucket of its own unless it fills the documents. Candidates meet the size
-and position bounds and are verified on whole sets, in rounds: every set with the pivot with
+and only its smallest id goes on. Tokens are ordered by document frequency, rare first. A set of n
+tokens that is linked with another has at most d = n - ceil(t n) tokens that the other lacks, so the
+first token they share is among its first d + 1; rare tokens there are indexed singly. Where the
+first shared token is frequent, none of the rare ones is shared, and tokens of the frequent class are
+indexed in pairs of neighbours: prefixes are extended until they hold two shared tokens more
+than the two sets can differ in (at most D = (1 - t) / t n), so that between two consecutive shared
+ones nothing else stands in either set. A set makes fewer than d + D + 2 signatures, whatever its length, and a
+passage in a third of all documents makes no bucket unless it fills the documents. Candidates meet
+the size and position bounds and are verified on whole sets, in rounds: every set with the pivot with
 which it shares most buckets, then with the pivots of its other buckets, then with the most central
 sets of each bucket (those whose buckets are fullest: copies of one text differ less from them
 than from each other), then all pairs of a bucket. The later rounds take pairs that are still in different
@@ -24,17 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, doc_groups, scratch, shuffle_partitions, text_buffers
+from .common import binary_array, discard, doc_groups, lean, scratch, shuffle_partitions, text_buffers
 from .components import connected_components
 from .hashing import U, distinct_per_row, mix, shingles, word_hashes
 
-FREQUENT_KEPT = 65_536  # the frequency table is broadcast: 16 bytes an entry, 1 MB
+SUMMARY = 65_536  # tokens that a task keeps counts of
+FREQUENT_KEPT = 262_144  # the frequency table is sent to every task: 16 bytes an entry, 4 MB
 SMALL = 500_000  # ids that may be broadcast, 4 MB
-FLUSH = 4_000_000  # tokens counted together in one task
+FLUSH = 500_000  # tokens counted together
+SEEN = 200_000  # set ids by which a task knows the texts it has counted
+BUCKET_BYTES = 16 << 20  # entries gathered in one task
 SKETCH = 256  # bits
 CENTRAL_ROUNDS = 2
 BITS = [f"b{i}" for i in range(SKETCH // 64)]
-ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<i4")])
+ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<i4"), ("before", "<i4")])
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,44 +73,77 @@ def sketches(sh: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1).view(np.int64)
 
 
+def _fold(token: np.ndarray, count: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A summary of frequent tokens with more tokens counted in: the SUMMARY largest counts, less the
+    largest one left out. A count is too low by at most the tokens seen / SUMMARY."""
+    t, c = np.unique(np.concatenate(more), return_counts=True)
+    t, back = np.unique(np.concatenate([token, t]), return_inverse=True)
+    c = np.bincount(back, weights=np.concatenate([count, c])).astype(np.int64)
+    if len(c) > SUMMARY:
+        c -= np.partition(c, -SUMMARY - 1)[-SUMMARY - 1]
+    return t[c > 0], c[c > 0]
+
+
 def _frequent(docs: DataFrame, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens and their document counts, sorted by token.
 
-    Tasks count all their documents (equal sets once) and report tokens met three times or more.
-    The table only orders tokens; any order gives the same result.
+    Each task sums up all its documents (equal sets once, as far as it remembers them) and reports
+    tokens that it met twice or more. So a token that is missing here has few documents a task, and
+    its bucket is of the order of the number of tasks. The table only orders tokens; any order gives
+    the same result.
     """
 
     def count(batches):
-        have, size, seen = [], 0, set()
-
-        def flush():
-            t, c = np.unique(np.concatenate(have), return_counts=True)
-            often = c >= 3
-            return pa.record_batch([pa.array(t[often].view(np.int64)), pa.array(c[often])], ["token", "c"])
-
+        token, c, have, size, seen = np.empty(0, U), np.empty(0, np.int64), [], 0, set()
         for batch in batches:
             for i, j, sh, rw in token_sets(batch.column("text"), k):
-                n, a, b = set_ids(sh, rw, j - i)
+                _, a, _ = set_ids(sh, rw, j - i)
                 new = np.zeros(j - i, bool)
-                for x, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                for x, key in enumerate(a.tolist()):
                     if key not in seen:
                         seen.add(key)
                         new[x] = True
+                if len(seen) > SEEN:
+                    seen = set()
                 have.append(sh[new[rw]])
                 size += len(have[-1])
                 if size > FLUSH:
-                    yield flush()
-                    have, size, seen = [], 0, set()
+                    token, c = _fold(token, c, have)
+                    have, size = [], 0
         if have:
-            yield flush()
+            token, c = _fold(token, c, have)
+        yield pa.record_batch([pa.array(token[c > 1].view(np.int64)), pa.array(c[c > 1])], ["token", "c"])
 
-    counts = docs.select("text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counts = docs.select("text").mapInArrow(lean(count), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     top = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "token").limit(FREQUENT_KEPT).toArrow()
     token, c = top["token"].to_numpy().view(U), top["c"].to_numpy()
     order = np.argsort(token)
     return token[order], c[order]
 
 
+def signatures(sh: np.ndarray, row: np.ndarray, often: np.ndarray, n: np.ndarray, percent: int, pair_from: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures by row, how many of each row, how many of these are single tokens, rare tokens of
+    each row) of token sets of n tokens; often: each token's frequency."""
+    order = np.lexsort((sh, often, row))
+    sh, rare = sh[order], often[order] < pair_from
+    rows = len(n)
+    place = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
+    n_rare = np.bincount(row[rare], minlength=rows)
+    least = -(-percent * n // 100)  # shared with any linked set
+    lacks, differs = n - least, (100 - percent) * n // percent
+    few = least < differs + 2  # too few shared tokens for a pair of neighbours: all are indexed singly
+    single = (place < np.repeat(lacks + 1, n)) & (rare | np.repeat(few, n))
+    # rare tokens are not shared here: they use up what the set may lack and differ in
+    length = np.where(n_rare <= lacks, np.minimum(lacks + differs - 2 * n_rare + 2, n - n_rare), 0)
+    nth = place - np.repeat(n_rare, n)  # among the frequent tokens
+    pair = ~rare & (nth + 1 < np.repeat(length, n))
+    at = np.flatnonzero(pair)
+    sigs = np.concatenate([sh[single], mix(sh[at] * U(0xA0761D6478BD642F) + sh[at + 1])])
+    owner = np.concatenate([row[single], row[at]])  # of row: sorted, as sh is
+    back = np.argsort(owner, kind="stable")
+    return sigs[back], np.bincount(owner, minlength=rows), np.bincount(row[single], minlength=rows), n_rare
+
+
 def _signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], pair_from: int) -> DataFrame:
     known, count = frequent
 
@@ -117,35 +157,18 @@ def _signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarra
                 if len(known) and len(sh):
                     at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
                     often = np.where(known[at] == sh, count[at], 0)
-                order = np.lexsort((sh, often, rw))
-                sh, often = sh[order], often[order]
-                ends = np.cumsum(n)
-                length = np.minimum(n, n - (-(-percent * n // 100)) + 2)
-                place = np.arange(len(sh)) - np.repeat(ends - n, n)
-                prefix = place < np.repeat(length, n)
-                single = prefix & (often < pair_from)
-                parts, counts, singles = [], [], np.bincount(rw[single], minlength=j - i)
-                if single.sum() == prefix.sum():
-                    parts, counts = [sh[single]], singles
-                else:
-                    counts = singles.copy()
-                    for x in range(j - i):
-                        lo, hi = ends[x] - n[x], ends[x] - n[x] + length[x]
-                        parts.append(sh[lo : lo + singles[x]])
-                        many = sh[lo + singles[x] : hi]
-                        if len(many) > 1:
-                            q, p = np.tril_indices(len(many), -1)  # ordered by the later token: _buckets counts on it
-                            parts.append(mix(many[p] * U(0xA0761D6478BD642F) + many[q]))
-                            counts[x] += len(p)
-                sigs = np.concatenate(parts) if parts else np.empty(0, U)
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(singles.astype(np.int32)), binary_array(sigs, counts), *map(pa.array, np.ascontiguousarray(bits.T))], ["doc_id", "n_shingles", "set_a", "set_b", "n_single", "sigs", *BITS])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, n_single int, sigs binary, " + ", ".join(f"{x} long" for x in BITS))
+                sigs, counts, singles, rare = signatures(sh, rw, often, n, percent, pair_from)
+                yield pa.record_batch(
+                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(counts.astype(np.int32)), pa.array(singles.astype(np.int32)), pa.array(rare.astype(np.int32)), binary_array(sigs, counts), *map(pa.array, np.ascontiguousarray(bits.T))],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "n_sigs", "n_single", "n_rare", "sigs", *BITS],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_a long, set_b long, n_sigs int, n_single int, n_rare int, sigs binary, " + ", ".join(f"{x} long" for x in BITS))
 
 
 def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
-    """(sig, doc_id, n, pos, pivot, n2, pos2) of signatures that two or more of the given sets have;
-    the pivot is one of the sets with the signature, the same for all of them."""
+    """(sig, doc_id, n, pos, before, pivot, n2, pos2, before2) of signatures that two or more of the
+    given sets have; the pivot is one of the sets with the signature, the same for all of them."""
 
     def scatter(batches):
         def out(have):
@@ -167,13 +190,13 @@ def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
             e["sig"] = np.frombuffer(blob.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(U)
             e["doc"] = np.repeat(batch.column("doc_id").to_numpy(), counts)
             e["n"] = np.repeat(batch.column("n_shingles").to_numpy(), counts)
-            pos = np.arange(len(e)) - np.repeat(np.cumsum(counts) - counts, counts)
+            nth = np.arange(len(e)) - np.repeat(np.cumsum(counts) - counts, counts)
             singles = np.repeat(batch.column("n_single").to_numpy(), counts)
-            later = (1 + np.sqrt(8.0 * np.maximum(pos - singles, 0) + 1)).astype(np.int64) // 2  # of a pair's tokens
-            e["pos"] = np.where(pos < singles, pos, singles + later - 1)
+            e["before"] = np.maximum(nth - singles, 0)
+            e["pos"] = np.where(nth < singles, nth, np.repeat(batch.column("n_rare").to_numpy(), counts) + nth - singles)
             have.append(e)
             size += len(e)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield out(have)
                 have, size = [], 0
         if have:
@@ -184,30 +207,34 @@ def _buckets(sets: DataFrame, buckets: int) -> DataFrame:
         if not have:
             return
         e = np.concatenate(have)
+        del have
         e = e[np.argsort(e["sig"], kind="stable")]
         same = e["sig"][1:] == e["sig"][:-1]
         e = e[np.r_[same, False] | np.r_[False, same]]
         e = e[np.lexsort((mix(e["doc"].astype(U)), e["sig"]))]
         first = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else np.empty(0, np.int64)
-        lead = e[np.repeat(first, np.diff(np.r_[first, len(e)]))]
-        columns = [np.ascontiguousarray(e["sig"]).view(np.int64), *[x[f].astype(np.int64) for x in (e, lead) for f in ("doc", "n", "pos")]]
-        yield pa.record_batch([pa.array(x) for x in columns], ["sig", "doc_id", "n", "pos", "pivot", "n2", "pos2"])
+        lead = np.repeat(first, np.diff(np.r_[first, len(e)]))
+        for s in range(0, len(e), 100_000):
+            own, by = e[s : s + 100_000], e[lead[s : s + 100_000]]
+            columns = [np.ascontiguousarray(own["sig"]).view(np.int64), *[x[f].astype(np.int64) for x in (own, by) for f in ("doc", "n", "pos", "before")]]
+            yield pa.record_batch([pa.array(x) for x in columns], ["sig", "doc_id", "n", "pos", "before", "pivot", "n2", "pos2", "before2"])
 
-    blobs = sets.select("doc_id", "n_shingles", "n_single", "sigs").mapInArrow(scatter, "bucket int, entries binary")
-    return blobs.repartitionById(buckets, "bucket").mapInArrow(gather, "sig long, doc_id long, n long, pos long, pivot long, n2 long, pos2 long")
+    blobs = sets.select("doc_id", "n_shingles", "n_single", "n_rare", "sigs").mapInArrow(lean(scatter), "bucket int, entries binary")
+    return blobs.repartitionById(buckets, "bucket").mapInArrow(lean(gather), "sig long, doc_id long, n long, pos long, before long, pivot long, n2 long, pos2 long, before2 long")
 
 
 def _possible(percent: int):
-    """Size and position bounds on a pair (n, pos | n2, pos2) from one shared signature.
+    """Size and position bounds on a pair (n, pos, before | n2, pos2, before2) from one shared signature.
 
-    A linked pair has a row for the first token that it shares, or for its first two where they are
-    frequent: nothing else before is shared, so what is left of either set from there on must reach
-    the overlap that their sizes require. pos is that of a single token, or one less than that of a
-    pair's later token, as one more is shared before. Rows of later tokens may fail; the pair stays
-    through its first.
+    A linked pair has a row for the first token that it shares, or for two neighbours where all the
+    shared ones are frequent. At most ``before`` tokens (none before a single token, the frequent
+    ones before a pair) of either set are shared ahead of pos, and what is left from there on must
+    make up the overlap that their sizes require. Rows of other shared tokens may fail; the pair
+    stays through that one.
     """
     n, m, p, q = (F.col(c) for c in ("n", "n2", "pos", "pos2"))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
+    most = F.least("before", "before2") + F.least(n - p, m - q)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
 def _alike(percent: int):
@@ -231,7 +258,7 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int, column: str, k
 
     left = sets.select(F.col("doc_id").alias("a"), F.col(column).alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col(column).alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def _tokens(docs: DataFrame, ids: DataFrame, k: int, short: bool) -> DataFrame:
@@ -239,7 +266,7 @@ def _tokens(docs: DataFrame, ids: DataFrame, k: int, short: bool) -> DataFrame:
 
     ids is broadcast where it is small, else joined by a shuffle."""
     ids = scratch(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+    sent = F.broadcast(ids) if ids.count() <= SMALL else ids
 
     def run(batches):
         for batch in batches:
@@ -249,8 +276,8 @@ def _tokens(docs: DataFrame, ids: DataFrame, k: int, short: bool) -> DataFrame:
                 kept = (sh >> U(48)).astype(np.uint16) if short else sh  # the highest bits, so still in order
                 yield pa.record_batch([own.slice(i, j - i), binary_array(kept, n)], ["doc_id", "tokens"])
 
-    one = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary")
-    return scratch(one.dropDuplicates(["doc_id"]), "tokens")
+    one = docs.join(sent, "doc_id", "left_semi").mapInArrow(lean(run), "doc_id long, tokens binary")
+    return scratch(one.dropDuplicates(["doc_id"]), "tokens", [ids])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shorts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -262,14 +289,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, shorts: DataFrame, k: int, perc
 
 
 def _mixed(rows: DataFrame, sketch: DataFrame, of) -> DataFrame:
-    """(sig, doc_id, n, pos, component, sketch) of the buckets whose sets are in two or more components."""
+    """(sig, doc_id, n, pos, before, component, sketch) of the buckets whose sets are in two or more components."""
     member = of(rows, "doc_id", "component")
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     return scratch(member.join(mixed, "sig", "left_semi").join(sketch, "doc_id"), "mixed")
 
 
 def _other(member: DataFrame) -> DataFrame:
-    return member.select("sig", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), *[F.col(x).alias(f"{x}_2") for x in BITS])
+    return member.select("sig", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"), F.col("component").alias("c2"), *[F.col(x).alias(f"{x}_2") for x in BITS])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_floor: int = 16, pair_from: int = 1024) -> DataFrame:
@@ -279,8 +306,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     fewer than k words: the whole sequence as one). component_id: smallest doc_id reachable;
     same_set: smallest doc_id with an equal set. Null, empty and blank texts have no shingles and
     stay alone. Rows with a null doc_id take no part and come back alone with null ids; repeated
-    rows come back as often as they are given. An empty table gives no rows; other columns are
-    ignored. Texts are used whole.
+    rows come back as often as they are given; doc_ids name texts, so of different texts with one
+    doc_id one is compared for all of them (``common.row_keys`` tells such rows apart). An empty
+    table gives no rows; other columns are ignored. Texts are used whole.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -289,10 +317,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     real = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("same_set")), "classes")
     chosen = real.join(classes.select(F.col("same_set").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = scratch(_buckets(chosen, shuffle_partitions(spark)), "buckets")
+    entries = sets.agg(F.coalesce(F.sum("n_sigs"), F.lit(0)).alias("n")).first()["n"]
+    buckets = scratch(_buckets(chosen, max(shuffle_partitions(spark), entries * ENTRY.itemsize // BUCKET_BYTES + 1)), "buckets")
+    sketch = scratch(chosen.select("doc_id", *BITS), "sketches")
+    base = sets.join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", "same_set")
+    base = scratch(base, "base", [sets, classes])
 
     shorts = _tokens(docs, buckets.select("doc_id").distinct(), k, True)
-    sketch = scratch(chosen.select("doc_id", *BITS), "sketches")
     other_sketch = lambda name: sketch.select(F.col("doc_id").alias(name), *[F.col(x).alias(f"{x}_2") for x in BITS])
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -306,14 +337,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     of = lambda rows, node, name: rows.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     apart = of(of(near, "doc_id", "c1"), "pivot", "c2").where("c1 <> c2")
     second = apart.join(sketch, "doc_id").join(other_sketch("pivot"), "pivot").where(_alike(percent))
-    second = scratch(second.select(*ordered("doc_id", "pivot")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = scratch(links.unionByName(_verified(second, docs, shorts, k, percent)), "links")
+    second = scratch(second.select(*ordered("doc_id", "pivot")).distinct().join(first, ["a", "b"], "left_anti"), "pairs", [near])
+    links = scratch(links.unionByName(_verified(second, docs, shorts, k, percent)), "links", [links])
     parts = connected_components(links)
 
     # what is left apart: the most central sets of each mixed bucket in turn, then all pairs. A set
     # that was held against its whole bucket leaves it; a pair that fails the position bound there
     # shares an earlier token, whose bucket it stays in.
-    rows, done = buckets.select("sig", "doc_id", "n", "pos"), first.unionByName(second)
+    rows, done = buckets.select("sig", "doc_id", "n", "pos", "before"), first.unionByName(second)
     for _ in range(CENTRAL_ROUNDS):
         member = _mixed(rows, sketch, of)
         central = member.join(member.groupBy("sig").agg(F.count("*").alias("size")), "sig").groupBy("doc_id").agg(F.sum("size").alias("weight"))
@@ -321,15 +352,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
         lead = scratch(lead, "lead")
         pairs = member.join(_other(member.join(lead, ["sig", "doc_id"], "left_semi")), "sig").where("component <> c2").where(_possible(percent) & _alike(percent))
         pairs = scratch(pairs.select(*ordered("doc_id", "d2")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        links = scratch(links.unionByName(_verified(pairs, docs, shorts, k, percent)), "links")
+        links = scratch(links.unionByName(_verified(pairs, docs, shorts, k, percent)), "links", [links])
         parts = connected_components(links)
-        rows, done = member.join(lead, ["sig", "doc_id"], "left_anti").select("sig", "doc_id", "n", "pos"), done.unionByName(pairs)
+        rows, done = member.join(lead, ["sig", "doc_id"], "left_anti").select("sig", "doc_id", "n", "pos", "before"), done.unionByName(pairs)
 
     member = _mixed(rows, sketch, of)
     rest = member.join(_other(member), "sig").where("doc_id < d2 AND component <> c2").where(_possible(percent) & _alike(percent))
     rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    more = scratch(_verified(rest, docs, shorts, k, percent), "links")
-    parts = connected_components(links.unionByName(more))
+    links = scratch(links.unionByName(_verified(rest, docs, shorts, k, percent)), "links", [links])
+    parts = connected_components(links)
+    discard(buckets, sketch, shorts)
 
-    out = sets.join(classes, ["n_shingles", "set_a", "set_b"], "left").join(parts.withColumnRenamed("node", "same_set"), "same_set", "left")
+    out = base.join(parts.withColumnRenamed("node", "same_set"), "same_set", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "same_set", "doc_id").alias("component_id"), F.coalesce("same_set", "doc_id").alias("same_set"))
