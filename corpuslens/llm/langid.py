@@ -9,12 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_groups, text_buffers
+from .common import doc_groups, lean, text_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 8
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")  # letters, and some numerals such as ² and ½
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is of a Unicode letter category."""
+    return text is not None and any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 class ByteConvNet:
@@ -97,8 +102,10 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, row, length
 
 
-def training_windows(docs: DataFrame, max_docs: int, per_doc: int = 6):
-    """Windows of at most ``max_docs`` labelled texts, those of the smallest id hashes."""
+def training_windows(docs: DataFrame, max_docs: int, per_doc: int):
+    """(windows, language of each) of at most ``max_docs`` labelled texts, those of the smallest id
+    hashes: ``per_doc`` windows from all over each text, or all that a shorter one has. Rows that
+    share an id or have none share a hash; ``max_docs * per_doc`` windows come to the driver at most."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     limit = known.select("h").orderBy("h").limit(max_docs).agg(F.max("h").alias("h")).first()["h"]
     if limit is None:
@@ -108,20 +115,23 @@ def training_windows(docs: DataFrame, max_docs: int, per_doc: int = 6):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in doc_groups(offsets):
-                x, row, length = _windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                x, row, _ = _windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 total = np.bincount(row, minlength=j - i)[row]
-                keep = (rank * per_doc // np.maximum(total, 1) != (rank - 1) * per_doc // np.maximum(total, 1)) & (length >= 16)
+                keep = rank * per_doc // np.maximum(total, 1) != (rank - 1) * per_doc // np.maximum(total, 1)
                 yield pa.record_batch([pa.array([r.tobytes() for r in x[keep]], pa.binary()), batch.column("lang").take(pa.array(row[keep] + i)), batch.column("h").take(pa.array(row[keep] + i))], ["x", "lang", "h"])
 
-    got = known.where(F.col("h") <= F.lit(limit)).select("text", "lang", "h").mapInArrow(cut, "x binary, lang string, h long").toArrow()
-    got = got.sort_by([("h", "ascending"), ("x", "ascending")])
+    got = known.where(F.col("h") <= F.lit(limit)).select("text", "lang", "h").mapInArrow(lean(cut), "x binary, lang string, h long")
+    got = got.orderBy("h", "x").limit(max_docs * per_doc).toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.int16).reshape(-1, WINDOW)
     return x, got["lang"].to_pylist()
 
 
-def train_language_model(docs: DataFrame, max_docs: int = 2500) -> tuple[ByteConvNet | None, list[str]]:
-    x, lang = training_windows(docs, max_docs)
+def train_language_model(docs: DataFrame, max_docs: int = 2500, per_doc: int = 6) -> tuple[ByteConvNet | None, list[str]]:
+    """The network and its languages, fitted on a bounded sample of the labelled rows of
+    docs(doc_id, text, lang, ...): ``per_doc`` windows of each of ``max_docs`` texts. Null texts and
+    languages teach nothing; without any labelled row there is no network and no language."""
+    x, lang = training_windows(docs, max_docs, per_doc)
     classes = sorted(set(lang))
     if not classes:
         return None, []
@@ -150,7 +160,7 @@ def identify_language(docs: DataFrame, net: ByteConvNet | None, classes: list[st
                     for s in range(0, len(x), 512):
                         q = net.probabilities(x[s : s + 512]) * length[s : s + 512, None]
                         np.add.at(p, row[s : s + 512] + i, q)
-            letters = np.array([t is not None and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()], bool)
+            letters = np.array([has_letter(t) for t in batch.column("text").to_pylist()], bool)
             total = p.sum(axis=1)
             known = letters & (total > 0)
             best = np.where(known, p.argmax(axis=1), len(classes))
@@ -159,4 +169,4 @@ def identify_language(docs: DataFrame, net: ByteConvNet | None, classes: list[st
 
     kinds = dict(docs.select(*extra).dtypes)
     schema = ", ".join(["doc_id long", "lang_pred string", "score double", *[f"`{c}` {kinds[c]}" for c in extra]])
-    return docs.select("doc_id", "text", *[c for c in extra if c not in ("doc_id", "text")]).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *[c for c in extra if c not in ("doc_id", "text")]).mapInArrow(lean(run), schema)
