@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_groups, text_buffers
+from .common import doc_groups, lean, text_buffers
 from .hashing import mix, word_hashes, word_spans
 
 _CLASS = np.zeros(256, np.int64)  # 0: other
@@ -56,6 +56,10 @@ def features(column) -> np.ndarray:
     return out
 
 
+def _sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+
+
 class PuNet:
     """A two-layer network; score is its estimated probability of class 1."""
 
@@ -76,28 +80,20 @@ class PuNet:
         return h, (h @ self.w2 + self.b2)[:, 0]
 
     def score(self, f: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._forward(self._inputs(f))[1], -30, 30)))
+        return _sigmoid(self._forward(self._inputs(f))[1])
 
-    def train(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 256, rate: float = 0.01, seed: int = 5) -> None:
-        """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l the logistic loss.
-        Where a batch's second part falls below 0, its gradient is followed upwards instead."""
+    def _descend(self, positive: np.ndarray, unlabelled: np.ndarray, slopes, epochs: int, batch: int = 256, rate: float = 0.01, seed: int = 5) -> None:
+        """Steps of Adam along the slopes(gp, gu) of a risk in the outputs for positive and unlabelled rows."""
         self.mean, self.scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
         p, u = self._inputs(positive), self._inputs(unlabelled)
         r = np.random.default_rng(seed)
         m, v, t = [np.zeros_like(a) for a in self.params()], [np.zeros_like(a) for a in self.params()], 0
-        soft = lambda g: np.logaddexp(0, g)
-        sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         for _ in range(epochs):
             order = r.permutation(len(u))
             for s in range(0, len(u), batch):
                 xu, xp = u[order[s : s + batch]], p[r.integers(0, len(p), batch)]
                 (hp, gp), (hu, gu) = self._forward(xp), self._forward(xu)
-                negative = soft(gu).mean() - prior * soft(gp).mean()
-                if negative >= 0:
-                    dp = prior * (sig(gp) - 1) / len(gp) - prior * sig(gp) / len(gp)
-                    du = sig(gu) / len(gu)
-                else:
-                    dp, du = prior * sig(gp) / len(gp), -sig(gu) / len(gu)
+                dp, du = slopes(gp, gu)
                 grads = [0, 0, 0, 0]
                 for x, h, d in ((xp, hp, dp), (xu, hu, du)):
                     back = (d[:, None] * self.w2.T) * (1 - h * h)
@@ -109,35 +105,73 @@ class PuNet:
                     v_ += 0.001 * (g * g - v_)
                     a -= rate * (m_ / (1 - 0.9**t)) / (np.sqrt(v_ / (1 - 0.999**t)) + 1e-8)
 
+    def contrast(self, positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 20) -> None:
+        """Learn to tell positive rows from unlabelled ones."""
+        self._descend(positive, unlabelled, lambda gp, gu: ((_sigmoid(gp) - 1) / len(gp), _sigmoid(gu) / len(gu)), epochs)
+
+    def train(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60) -> None:
+        """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l the logistic loss.
+        Where a batch's second part falls below 0, its gradient is followed upwards instead."""
+
+        def slopes(gp, gu):
+            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            if negative >= 0:
+                return prior * (_sigmoid(gp) - 1) / len(gp) - prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
+            return prior * _sigmoid(gp) / len(gp), -_sigmoid(gu) / len(gu)
+
+        self._descend(positive, unlabelled, slopes, epochs)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of the positive class among unlabelled rows, from positive and unlabelled rows alone.
+
+    A classifier of the one against the other is fitted on half of both. On the other half, above
+    any score, unlabelled rows can hold no more positives than there are rows; so the share is at
+    most the ratio of the two tails, and the score is taken where the ratio's upper bound is least.
+    """
+    net = PuNet()
+    net.contrast(positive[::2], unlabelled[::2])
+    p, u = np.sort(net.score(positive[1::2])), np.sort(net.score(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    at = np.unique(p)
+    tail_p = 1 - np.searchsorted(p, at) / len(p)
+    tail_u = 1 - np.searchsorted(u, at) / len(u)
+    slack = np.sqrt(np.log(4 / doubt) / (2 * len(u))) + np.sqrt(np.log(4 / doubt) / (2 * len(p)))
+    best = int(np.argmin((tail_u + 1.01 * slack) / tail_p))
+    return float(np.clip(tail_u[best] / tail_p[best], 0.01, 0.99))
+
 
 def _sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> pa.Table:
-    """Features and label (null: none) of at most max_docs texts with, and as many without labels:
-    those of the smallest id hashes."""
-    labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", "quality", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    pick = lambda cond: ids.where(cond).orderBy("h").limit(max_docs)
-    chosen = pick("quality IS NOT NULL").unionByName(pick("quality IS NULL")).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    """Features of at most max_docs texts of any sort and of max_docs texts with label 1 (columns
+    ``any`` and ``positive`` say which), those of the smallest id hashes; 2 * max_docs rows at most."""
+    h = F.xxhash64("doc_id", F.lit(3)).alias("h")
+    marked = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    last = docs.select(h).orderBy("h").limit(max_docs).agg(F.max("h").alias("h")).first()["h"]
+    some = docs.select("doc_id", h).join(marked, "doc_id", "left_semi").orderBy("h").limit(max_docs).select("doc_id", F.lit(True).alias("positive")).distinct()
 
     def run(batches):
         for batch in batches:
             f = features(batch.column("text"))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "quality", "f"])
+            yield pa.record_batch([batch.column("h"), batch.column("any"), batch.column("positive"), pa.array(list(f), pa.list_(pa.float64()))], ["h", "any", "positive", "f"])
 
-    # at most 2 * max_docs rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, f array<double>").toArrow().sort_by("doc_id")
+    # some has at most max_docs rows of one number
+    drawn = docs.select("doc_id", "text", h).join(F.broadcast(some), "doc_id", "left").select("text", "h", (F.col("h") <= F.lit(last)).alias("any"), F.coalesce("positive", F.lit(False)).alias("positive"))
+    return drawn.where("any OR positive").mapInArrow(lean(run), "h long, any boolean, positive boolean, f array<double>").orderBy("h", "f").limit(2 * max_docs).toArrow()
 
 
 def train_quality_model(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> PuNet | None:
-    """Trusted positives: label 1. Unlabelled text: all sampled rows, their labels unused. The class
-    prior is estimated by the share of positives among the sampled labelled rows. None if there is
-    no positive."""
+    """Trusted positives: texts with label 1. Unlabelled text: a sample of all rows, whatever their
+    label; label 0 is used nowhere. The class prior is estimated from the two. None if there is no
+    positive. Both samples are bounded by ``max_docs``; rows that share an id share their place in them."""
     got = _sample(docs, labels, max_docs)
     f = np.array(got["f"].to_pylist()).reshape(-1, FEATURES)
-    q = np.array([-1 if x is None else x for x in got["quality"].to_pylist()])
-    if not (q == 1).any():
+    positive, sampled = got["positive"].to_numpy().astype(bool), got["any"].to_numpy().astype(bool)
+    if not positive.any() or not sampled.any():
         return None
     net = PuNet()
-    net.train(f[q == 1], f, float(np.clip((q == 1).sum() / (q >= 0).sum(), 0.01, 0.99)))
+    net.prior = estimate_prior(f[positive], f[sampled])
+    net.train(f[positive], f[sampled], net.prior)
     return net
 
 
@@ -151,4 +185,4 @@ def score_quality(docs: DataFrame, net: PuNet | None, threshold: float = 0.3) ->
             score = net.score(f) if net is not None else np.zeros(len(f))
             yield pa.record_batch([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
