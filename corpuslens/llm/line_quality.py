@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_groups, text_buffers
+from .common import doc_groups, lean, text_buffers
 from .hashing import shingles, word_hashes, word_spans
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -16,6 +16,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _ENDS = tuple(".!?…。！？:;\"'”’»)]")
 _BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "accept cookies", "cookie policy", "we use cookies", "copyright ©", "click here", "sign in", "sign up", "log in", "read more", "share this", "share on", "enable javascript", "lorem ipsum")
+SPREAD = 25  # a line is boilerplate if such phrases make up one character in so many
 _SEPARATOR = re.compile(r"[|»›•→]|\s[>/]\s")
 _MARK = re.compile(r"[#*$%&|<>]")
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{3}")
@@ -32,10 +33,9 @@ def line_fails(line: str) -> str | None:
             return "navigation"
         if len(_MARK.findall(line)) * 10 > words + 9:
             return "symbols"
-    if len(line) < 400:
-        low = line.lower()
-        if any(x in low for x in _BOILERPLATE):
-            return "boilerplate"
+    low = line.lower()
+    if sum(len(x) * low.count(x) for x in _BOILERPLATE if x in low) * SPREAD >= len(line):
+        return "boilerplate"
     if _CAPITALS.search(line):
         upper = sum(map(str.isupper, line))
         if upper > 5 and upper * 2 > sum(map(str.isalpha, line)):
@@ -105,4 +105,4 @@ def quality_rules(docs: DataFrame, max_lost_percent: int = 50) -> DataFrame:
             )
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lines_removed long, chars_removed long, text string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
