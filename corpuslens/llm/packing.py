@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import lean, scratch
 
 END_ID = 2
 SHARD_PIECES = 4096
@@ -106,8 +106,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return where, offset
 
 
-def token_pieces(docs: DataFrame, capacity: int, paths: tuple[str, str], extra: list[str] | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids): a document's ids and the end id; one longer
+def token_pieces(docs: DataFrame, capacity: int, paths: tuple[str, str]) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): a document's ids and the end id; one longer
     than capacity is cut into full pieces, the first of which may be shorter."""
 
     def run(batches):
@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, capacity: int, paths: tuple[str, str], extra:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, paths: tuple[str, str] | None = None) -> DataFrame:
