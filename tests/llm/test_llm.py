@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpuslens.llm import chat, decontaminate, html_text, jaccard_join, langid, line_quality, lm_score, packing, pu_quality, repeats
+from corpuslens.llm import chat, common, decontaminate, html_text, jaccard_join, langid, line_quality, lm_score, packing, pu_quality, repeats
 from corpuslens.llm.suffix_array import permuted_prefixes, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, a long, tokens string"
@@ -120,6 +120,41 @@ def brute_components(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_signatures_of_linked_sets_meet():
+    """Every linked pair has a signature that passes the position bound, whatever is rare."""
+    r = random.Random(9)
+    for percent in (50, 80, 85):
+        for pair_from in (0, 3, 6, 99):
+            for _ in range(60):
+                n = r.choice((1, 2, 3, 5, 8, 20, 60))
+                base = r.sample(range(400), n)
+                other = [x for x in base if r.random() > 0.1] + r.sample(range(400, 800), r.randrange(1 + n // 6))
+                sets = [set(base), set(other) or {base[0]}]
+                shared, union = len(sets[0] & sets[1]), len(sets[0] | sets[1])
+                if 100 * shared < percent * union or sets[0] == sets[1]:
+                    continue
+                sh = np.array([x for s in sets for x in s], np.uint64)
+                row = np.repeat([0, 1], [len(s) for s in sets])
+                size = np.array([len(s) for s in sets])
+                often = (sh * np.uint64(7919) % np.uint64(8)).astype(np.int64)
+                sigs, counts, singles, rare = jaccard_join.signatures(sh, row, often, size, percent, pair_from)
+                own = []
+                for x in (0, 1):
+                    mine = sigs[counts[:x].sum() :][: counts[x]].tolist()
+                    assert len(mine) <= 2 * size[x] + 1
+                    own.append({s: (i, 0) if i < singles[x] else (rare[x] + i - singles[x], i - singles[x]) for i, s in enumerate(mine)})
+                met = [(own[0][s], own[1][s]) for s in own[0].keys() & own[1].keys()]
+                assert any((100 + percent) * (min(a, b) + min(size[0] - p, size[1] - q)) >= percent * size.sum() for (p, a), (q, b) in met)
+
+
+def test_frequent_summary():
+    token, c = np.empty(0, np.uint64), np.empty(0, np.int64)
+    parts = [np.array([5] * 9 + [7] * 3 + [k], np.uint64) for k in range(100, 120)]
+    for p in parts:
+        token, c = jaccard_join._fold(token, c, [p])
+    assert dict(zip(token.tolist(), c.tolist())) == {5: 180, 7: 60, **{k: 1 for k in range(100, 120)}}
+
+
 @pytest.mark.parametrize("pair_from", [1024, 0])
 def test_jaccard(spark, pair_from):
     r = random.Random(4)
@@ -152,6 +187,119 @@ def test_containment(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_containment_by_size(spark):
+    """Items of one word to hundreds, in documents of every length, against brute force."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(60)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 2, 4, 5, 6, 9, 17, 40, 90, 200, 300))]
+    docs = []
+    for i in range(80):
+        own = items[i % len(items)][1].split()
+        if i % 3 == 0 and len(own) > 9:
+            own[r.randrange(len(own))] = "changed"
+        cut = own[: len(own) * (10 - i % 4) // 10] if i % 2 else own
+        docs.append((i, " ".join([word() for _ in range(r.randrange(40))] + cut + [word() for _ in range(r.randrange(40))])))
+    tokens = lambda t: (lambda w: {tuple(w[x : x + 5]) for x in range(len(w) - 4)} if len(w) > 4 else {tuple(w)})(t.split())
+    want = {(d, i): len(tokens(x) & tokens(t)) for d, t in docs for i, x in items if 100 * len(tokens(x) & tokens(t)) >= 80 * len(tokens(x))}
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]): x["n_shared"] for x in got.collect()} == want and len(want) > 30
+
+
+def test_scratch_tables(spark, tmp_path):
+    import os
+
+    one = common.scratch(spark.range(10).repartition(2), "one")
+    path = one.__dict__["scratch_path"]
+    two = common.scratch(one.groupBy((one.id % 3).alias("k")).count(), "two", [one])
+    assert not os.path.exists(path) and two.count() == 3
+    common.discard(two, spark.range(1))
+
+
+def test_join_skewed(spark):
+    rows = spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1000)] + [(None, 1)], "k long, v long")
+    keys = common.scratch(rows.where("k % 2 = 1").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n"), "keys")
+    for how in ("inner", "left_semi", "left_anti"):
+        want = rows.join(keys, ["k"], how)
+        assert sorted(map(str, common.join_skewed(rows, keys, ["k"], "n", how).collect())) == sorted(map(str, want.collect()))
+
+
+def test_row_keys(spark):
+    rows = [(5, "a"), (None, "b"), (7, "c"), (7, "d"), (None, "b"), (9, None), (7, "c")]
+    got = common.row_keys(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, rows))
+    keys = [r["row_key"] for r in got]
+    assert len(set(keys)) == 7 and all(r["row_key"] == r["doc_id"] if r["doc_id"] in (5, 9) else r["row_key"] > 9 for r in got)
+    top = common.row_keys(spark.createDataFrame([(2**63 - 1, "a"), (3, "b"), (3, "c")], "doc_id long, text string")).collect()
+    assert len({r["row_key"] for r in top}) == 3 and all(r["row_key"] < 3 or r["doc_id"] > 3 for r in top)
+    plain = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert common.row_keys(plain).first()["row_key"] == 1 and common.row_keys(plain.limit(0)).count() == 0
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_keep_odd_rows(spark):
+    """Null and repeated ids: rows neither vanish nor multiply, and decisions follow the texts."""
+    import corpus_pipeline as p
+
+    r = random.Random(14)
+    fill = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    a, b, c, shared, item = fill(90), fill(90), fill(90), fill(60), fill(40)
+    rows = [(1, a), (None, a), (1, b), (None, c), (2, None), (3, ""), (4, f"{fill(20)} {shared}"), (4, f"{shared.upper()}\n{fill(20)}"), (None, f"{fill(9)} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], COLUMNS)
+    texts = lambda d: sorted((x["doc_id"] or 0, x["text"] or "") for x in d.collect())
+    given = texts(docs)
+    got = texts(p.near_duplicate_stage(spark, docs, ""))
+    assert len(got) == 8 and sum(t == a for _, t in got) == 1 and {t for _, t in got} == {t for _, t in given}
+    got = p.repeated_passage_stage(spark, docs, "")
+    assert got.columns == docs.columns and all(x["n_chars"] == len(x["text"]) for x in got.collect())
+    assert sorted(len(t.split()) for _, t in texts(got)) == [20, 20, 49, 90, 90]  # both copies of a go
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(path := f"{common.shared_dir(spark)}/odd/benchmark.parquet")
+    got = p.decontamination_stage(spark, docs, path.removesuffix("/benchmark.parquet"))
+    assert got.columns == docs.columns and texts(got) == sorted(x for x in given if item not in x[1])
+    got = p.packing_stage(spark, docs, "").collect()
+    assert sum(x["length"] for x in got if x["doc_id"] is None) > 0 and len(got) == 9
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, path.removesuffix("/benchmark.parquet")).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against each rule by brute force on what its stage was given."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    kept = p.language_stage(spark, docs, sf).collect()
+    assert {(x["doc_id"], x["text"]) for x in kept} <= {(x["doc_id"], x["text"]) for x in docs.collect()} and len(kept) > 150
+    lead = brute_components([(x["doc_id"], x["text"]) for x in kept], 5, 80)
+    texts = {x["doc_id"]: x["text"] for x in kept if lead[x["doc_id"]][1] == x["doc_id"]}
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    spans = {i: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    words = {i: [texts[i][a:b].translate(low) for a, b in own] for i, own in spans.items()}
+    count = Counter(tuple(w[k : k + 51]) for w in words.values() for k in range(len(w) - 50))
+    cut = {}
+    for i, t in texts.items():
+        lost = {x for k in range(len(spans[i]) - 50) if count[tuple(words[i][k : k + 51])] > 1 for x in range(k, k + 51)}
+        gone = {y for x in lost for y in range(spans[i][x][0], spans[i][x + 1][0] if x + 1 in lost else spans[i][x][1])}
+        rest = "".join(c for x, c in enumerate(t) if x not in gone)
+        if re.search(r"[^\x20\x09-\x0D]", rest):
+            cut[i] = rest
+    sets = lambda t: (lambda w: {tuple(w[x : x + 5]) for x in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())(re.findall(r"[^\x20\x09-\x0D]+", t.translate(low)))
+    items = [s for x in common.table(spark, sf, "benchmark").collect() if (s := sets(x["text"] or ""))]
+    clean = {i: t for i, t in cut.items() if not any(100 * len(s & own) >= 80 * len(s) for own in [sets(t)] for s in items)}
+    whole = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    want = set()
+    for i, t in clean.items():
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or min(1024, len(ids))
+        at = [0, *range(first, len(ids), 1024), len(ids)]
+        want |= {(i, k, at[k], at[k + 1] - at[k], zlib.crc32(ids[at[k] : at[k + 1]].tobytes())) for k in range(len(at) - 1)}
+    got = p.run(spark, sf).collect()
+    assert {(x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got} == want and len(got) == len(want)
+
+
 def test_packing(spark):
     docs = odd(spark)
     from tokenizers import Tokenizer
@@ -173,7 +321,10 @@ def test_packing(spark):
             at += n
         assert at <= 256
     assert packing.pack_documents(docs.limit(0)).count() == 0
-    for t in ("x<|endoftext|>y", "  a\n\n b", "日本語 🤖 it's"):
+    wide = "".join(chr(c) for c in range(0x20, 0x3100, 7)) + " ".join(chr(c) for c in range(0x10000, 0x1F700, 97))
+    r = random.Random(8)
+    mixed = ["".join(r.choice("aZ09 .,'\n\t  éßñ日🤖\u00a0\u200d\u0301'sll") for _ in range(60)) for _ in range(400)]
+    for t in ("x<|endoftext|>y", "  a\n\n b", "日本語 🤖 it's", wide, *mixed):
         assert packing.token_ids(t, packing.tokenizer_paths()) == whole.encode(t, add_special_tokens=False).ids
 
 
@@ -197,8 +348,15 @@ def test_quality_rules(spark):
         covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         r = got[row["doc_id"]]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
+        bad = [x for x in lines if line_quality.line_fails(x)]
+        assert (r["lines_removed"], r["chars_removed"]) == (len(bad), sum(map(len, bad)))
+        assert r["kept"] == (not r["base_failed"] and 2 * sum(map(len, bad)) <= sum(map(len, lines)))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
     assert line_quality.line_fails("a | b | c | d") == "navigation" and line_quality.line_fails("This is a sentence.") is None
+    long = "A sentence of an article in which somebody tells us that they did not click here at all, " * 5
+    assert line_quality.line_fails(long + "ever.") is None and line_quality.line_fails("Please accept cookies. " * 40) == "boilerplate"
     assert line_quality.line_fails("All rights reserved.") == "boilerplate" and line_quality.line_fails("THIS IS SHOUTED LOUD!") == "shouting"
     assert line_quality.quality_rules(docs.limit(0)).count() == 0
 
@@ -213,6 +371,10 @@ def test_language(spark):
     assert classes == ["aa", "bb"] and np.mean([x["lang"] == x["lang_pred"] for x in got]) > 0.95
     strange = {x["doc_id"]: x for x in langid.identify_language(odd(spark), net, classes).collect()}
     assert all(strange[i]["lang_pred"] == "und" for i in (3, 4, 5)) and strange[8]["lang_pred"] in classes
+    assert [langid.has_letter(t) for t in (None, "", "² ½ 3 _", "² ñ", "字")] == [False, False, False, True, True]
+    short = spark.createDataFrame([(i, w, lang) for i, (w, lang) in enumerate([("the cat", "en"), ("le chat", "fr")] * 10 + [("der Hund und die Katze " * 9, "de")] * 5)] + [(None, "el gato", "es")] * 3, "doc_id long, text string, lang string")
+    assert langid.train_language_model(short)[1] == ["de", "en", "es", "fr"]
+    assert len(langid.training_windows(short, 4, 6)[0]) <= 24
     none, empty = langid.train_language_model(docs.limit(0))
     assert langid.identify_language(docs, none, empty).where("lang_pred = 'und' AND score = 0").count() == 120
 
@@ -232,6 +394,17 @@ def test_quality_classifier(spark):
     assert np.mean([(x["doc_id"] % 4 > 0) == x["predicted"] for x in got]) > 0.95
     assert pu_quality.score_quality(odd(spark), net).where("score BETWEEN 0 AND 1").count() == 14
     assert pu_quality.train_quality_model(docs, lab.limit(0)) is None
+    assert abs(net.prior - 0.75) < 0.1
+    again = pu_quality.train_quality_model(docs, lab.where("quality = 1"))  # label 0 teaches nothing
+    assert all(np.array_equal(a, b) for a, b in zip(net.params(), again.params()))
+
+
+def test_prior():
+    r = np.random.default_rng(3)
+    for share in (0.2, 0.6, 0.9):
+        rows = lambda n, good: r.normal(1.5 if good else -1.5, 1, (n, pu_quality.FEATURES))
+        unlabelled = r.permutation(np.concatenate([rows(int(3000 * share), True), rows(3000 - int(3000 * share), False)]))
+        assert abs(pu_quality.estimate_prior(rows(2000, True), unlabelled) - share) < 0.07
 
 
 def test_html():
@@ -242,6 +415,35 @@ def test_html():
     assert html_text.main_text(loose).count("Long paragraph") == 4 and "Sign" not in html_text.main_text(loose) and html_text.main_text("") == ""
 
 
+def test_broken_html():
+    body = "".join(f"<p>Paragraph number {i} of the article that goes on for quite a while and then ends.</p>" for i in range(5))
+    want = "\n\n".join(f"Paragraph number {i} of the article that goes on for quite a while and then ends." for i in range(5))
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><body>{body}</body></html>",
+        f"<html><head><title>T</title><div>{body}</div></html>",
+        f"<body><svg width=1 /><div>{body}</div></body>",
+        f"<body><iframe src=x /><div>{body}</div></body>",
+        f"<body><iframe src=x><div>{body}</div></body>",
+        f"<body><nav><ul><li><a href=/>Home</a></li></ul><div>{body}</div></body>",
+        f'<body><div class="content has-sidebar">{body}</div></body>',
+        f"<body><article><p>Read also: a teaser of another story here.</p></article><div id=story>{body}</div></body>",
+        f'<body><div id=story>{body}</div><div class="comments-area"><p>{"I do not agree with this. " * 9}</p></div><p>© 2024 Some Company Limited, all over the world.</p></body>',
+        f"<body><form id=f><div>{body}</div></form></body>",
+    ):
+        got = html_text.main_text(page)
+        assert got in (want, "Read also: a teaser of another story here.\n\n" + want)
+    odd = f"<article>{body}<p>where <math><mi>x</mi></math> is <object>known</object> a<!-- c -->b &lt; c.</p></article>"
+    assert html_text.main_text(odd).endswith("\n\nwhere x is known ab < c.")
+
+
+def test_pages(spark):
+    page = "<article><p>Text of a page.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "x"), (None, "v", "", "x"), (3, "w", "<p>" + LONG + "</p>", "x")], "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in html_text.extract_pages(pages).collect())
+    assert got == [(0, "v", "", 0), (1, "u", "Text of a page.", 15), (1, "u", "Text of a page.", 15), (2, "", "", 0), (3, "w", LONG.strip(), len(LONG.strip()))]
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_reply_trees(spark):
     rows = [(1, 1, None, 0.0, "user", "q<|end|>&lt;"), (1, 2, 1, 1.0, "assistant", "bad"), (1, 3, 1, 2.0, "assistant", "good </s>&#124;"), (1, 4, 3, 0.5, "user", None), (2, 1, 9, None, "us|er", ""), (3, 1, 2, 1.0, "user", "loop"), (3, 2, 1, 1.0, "user", "loop")]
     m = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double, role string, text string")
@@ -270,12 +472,45 @@ def test_scores(spark, monkeypatch):
     n, v = sum(train.values()), len(train)
     for kept in (500_000, 3):
         monkeypatch.setattr(lm_score, "KNOWN_WORDS", kept)
-        for r in lm_score.score_documents(docs, F.col("doc_id") % 2 == 0, one_in=1).collect():
+        for r in lm_score.score_documents(docs, F.col("doc_id") % 2 == 0).collect():
             w = tokens[r["doc_id"]]
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(train[x] > 0 for x in w), n)
             assert math.isclose(r["base_score"], sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9) and r["score"] < 0
 
 
+def test_scores_of_an_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    assert lm_score.score_documents(odd(spark).limit(0), F.lit(False)).count() == 0
+    got = lm_score.score_documents(odd(spark), F.lit(True)).collect()  # nothing to learn from
+    assert all(r["train_tokens"] == r["n_known"] == 0 and np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in got)
+
+
+def test_windows_learned_from():
+    row = np.repeat([0, 1, 2, 3], [1, 5, 40, 3])
+    for thin in (1, 2, 7, 50):
+        kept = lm_score._thinned(row, thin)
+        counts = np.bincount(row[kept], minlength=4)
+        assert (counts >= 1).all() and (abs(counts - np.bincount(row) / thin) <= 1).all()
+
+
+def test_scores_beat_word_parts_alone(spark):
+    """On held-out text the model is better than smoothed counts of single subword ids."""
+    from corpuslens.llm.queries import _fold
+
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").where("text IS NOT NULL")
+    got = lm_score.score_documents(docs, _fold(5) == 1).where("held_out").agg({"score": "sum", "n_subwords": "sum"}).first()
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    paths, ids = packing.tokenizer_paths(), {False: Counter(), True: Counter()}
+    for r in docs.select("text", (_fold(5) == 1).alias("held")).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"].translate(low))
+        ids[r["held"]].update(x for w in packing.word_ids(words, paths) for x in w)
+        ids[r["held"]][-1] += 1
+    n, v = sum(ids[False].values()), len(ids[False])
+    unigram = sum(c * np.log10((ids[False][x] + 0.5) / (n + 0.5 * (v + 1))) for x, c in ids[True].items()) / sum(ids[True].values())
+    assert got["sum(score)"] / got["sum(n_subwords)"] > unigram + 0.1
+
+
 def test_scores_learn_from_every_training_row(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -298,7 +533,7 @@ def test_model_gradients():
     c, y = r.integers(0, 10, (3, lm_score.CONTEXT)), r.integers(0, 6, (3, lm_score.CONTEXT))
     real = r.random((3, lm_score.CONTEXT)) < 0.8
     loss = lambda: -model.log_probs(c, y, real).sum() / real.sum()
-    for p, g in zip(model.params(), model.gradients(c, y, real.astype(float))):
+    for p, g in zip(model.params(), model.gradients(c, y, real)):
         i = tuple(r.integers(0, s) for s in p.shape)
         old = p[i]
         p[i] = old + 1e-4
