@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, jaccard_join, langid, packing, repeats
-from corpuslens.llm.common import scratch, table
+from corpuslens.llm.common import row_keys, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5  # share of the text's windows' probability that the predicted language needs
@@ -28,23 +28,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles with Jaccard 0.8 or more: the one
-    with the group's smallest id."""
-    found = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    lead = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(lead, "doc_id", "left_semi").select(*COLUMNS)
+    with the group's smallest doc_id. Rows without a doc_id and rows that share theirs are told apart
+    (``row_keys``) and come after all others; a text without a word is alone and stays."""
+    keyed = row_keys(docs.select(*COLUMNS))
+    found = jaccard_join.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80)
+    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("copy"))
+    return keyed.join(copies, keyed["row_key"] == copies["copy"], "left_anti").select(*COLUMNS)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes runs of MIN_WORDS words that start anywhere else too; texts left without a word go."""
-    cut = repeats.cut_repeats(docs, repeats.repeated_word_spans(docs, MIN_WORDS)).select(F.col("doc_id").alias("id"), "n_removed", "kept")
-    kept = docs.drop("n_chars").join(cut, docs["doc_id"] == cut["id"]).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    kept = kept.where(F.trim(F.translate("text", "\t\n\r", "   ")) != "")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Removes runs of MIN_WORDS words that start anywhere else too, whatever white space or case they
+    have, and the white space between removed words; texts without a word, or left without one, go. A row per other row, whatever its doc_id;
+    n_chars is that of the text that is left."""
+    spans = repeats.repeated_word_spans(docs, MIN_WORDS)
+    cut = repeats.cut_repeats(docs, spans, unit=repeats.WORDS, extra=["lang", "source"]).withColumnRenamed("kept", "text")
+    cut = cut.where(F.translate("text", " \t\n\x0b\x0c\r", "") != "")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item: 0.8 or more of its five-word shingles."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Drops documents that contain a benchmark item: 0.8 or more of its five-word shingles. Rows
+    without a doc_id are searched too."""
+    keyed = row_keys(docs.select(*COLUMNS))
+    kept = decontaminate.decontaminate(keyed.withColumnsRenamed({"doc_id": "given_id", "row_key": "doc_id"}), table(spark, sf_dir, "benchmark"))
+    return kept.drop("doc_id").withColumnRenamed("given_id", "doc_id").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +73,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        docs = scratch(stage(spark, docs, sf_dir), name, [docs])
     return STAGES[-1][1](spark, docs, sf_dir)
