@@ -30,7 +30,8 @@ def nonblank(c: Column) -> Column:
 
 def light_clean(c: Column, promo: Sequence[str] = ()) -> Column:
     """struct(text, url_removed, html_removed, promo_trim, space_norm). URLs become <URL>, which the
-    tag pattern then counts and replaces once more, as the counts are defined."""
+    tag pattern then counts and replaces once more, as the counts are defined. promo_trim counts the
+    patterns that changed the text, space_norm says whether white space did; blank texts count 0."""
     text = F.coalesce(c, F.lit(""))
     urls = F.regexp_count(text, F.lit("(?U)" + URL))
     text = F.regexp_replace(text, "(?U)" + URL, "<URL>")
@@ -38,10 +39,12 @@ def light_clean(c: Column, promo: Sequence[str] = ()) -> Column:
     text = F.regexp_replace(text, TAG, "<HTML>")
     cut = F.lit(0)
     for p in promo:
-        cut = cut + F.regexp_count(text, F.lit(p))
-        text = F.regexp_replace(text, p, "")
-    spaces = F.regexp_count(text, F.lit(r"(?U)\s{2,}"))
-    return F.struct(collapse(text).alias("text"), urls.alias("url_removed"), tags.alias("html_removed"), cut.alias("promo_trim"), spaces.alias("space_norm"))
+        trimmed = F.regexp_replace(text, p, "")
+        cut = cut + (trimmed != text).cast("int")
+        text = trimmed
+    clean = collapse(text)
+    changed = ((clean != text) & (clean != "")).cast("int")
+    return F.struct(clean.alias("text"), urls.alias("url_removed"), tags.alias("html_removed"), cut.alias("promo_trim"), changed.alias("space_norm"))
 
 
 def preprocess(c: Column) -> Column:
@@ -114,3 +117,75 @@ def ordered_rules(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column
 def interval_label(c: Column, bounds: Sequence[tuple[str, str]], after: str, missing: str) -> Column:
     """The first label whose (exclusive) upper bound lies beyond c: phases of a calendar."""
     return ordered_rules([(c.isNull(), missing), *[(c < F.lit(b).cast("date"), name) for b, name in bounds]], after)
+
+
+def strip_lead_timestamps(c: Column, pattern: str = r"\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}", within: int = 200) -> Column:
+    """What follows the last time stamp that ends within the first characters; else the text."""
+    lead = F.regexp_extract(F.substring(c, 1, within), f"(?s)^(.*{pattern})", 1)
+    return F.when(lead != "", strip(F.substring(c, F.length(lead) + 1, F.length(c)))).otherwise(c)
+
+
+def strong_keys(c: Column, strong: Sequence[str], anti: Sequence[str]) -> Column:
+    """Whether a strong term occurs, and none of the terms that only look like one."""
+    c = F.coalesce(c, F.lit(""))
+    return ~any_term(c, anti) & any_term(c, strong)
+
+
+def substring_label(c: Column, rules: Sequence[tuple[Sequence[str], str]], otherwise: str | Column, blank: str | None = None) -> Column:
+    """The first rule one of whose parts occurs in the text or in its lower case."""
+    c = F.coalesce(c, F.lit(""))
+    both = F.concat_ws("\n", c, F.lower(c))
+    out = F.when(any_term(both, rules[0][0]), rules[0][1])
+    for parts, value in rules[1:]:
+        out = out.when(any_term(both, parts), value)
+    if blank is not None:
+        out = out.when(strip(c) == "", blank)
+    return out.otherwise(otherwise)
+
+
+def display(c: Column, names: dict[str, str]) -> Column:
+    """The name to show for a key, or the key."""
+    pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, c), c)
+
+
+def without_suffix(c: Column, suffix: str = ".csv") -> Column:
+    c = strip(c)
+    return F.when(F.lower(c).endswith(suffix), F.substring(c, F.lit(1), F.length(c) - len(suffix))).otherwise(c)
+
+
+def file_safe(c: Column, most: int = 80, bad: str = '<>:"/\\|?*\n\r\t ') -> Column:
+    """A text as part of a file name: bad characters become underscores, and it ends after ``most``."""
+    return F.substring(F.translate(c, bad, "_" * len(bad)), 1, most)
+
+
+def parse_date(c: Column, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyyMMdd")) -> Column:
+    """The time that any of the formats reads, null if none does; a zone is dropped."""
+    bare = F.regexp_replace(strip(c.cast("string")), r"(Z|[+-]\d{2}:?\d{2})$", "")
+    bare = F.when(bare.rlike(r"^\d{4}-\d{2}$"), None).otherwise(bare)
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+
+
+def period(c: Column, missing: str = "_nodate") -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM"), F.lit(missing))
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    """A share in per cent, rounded half to even."""
+    return F.bround(c.cast("double") * 100, digits)
+
+
+def p_display(p: Column) -> Column:
+    """A p value as it is printed: four places, or its exponent where they would show nothing."""
+    small = F.format_string("%.2e", p)
+    return F.when(p.isNull() | F.isnan(p), "NA").when(p < 1e-8, F.concat(F.lit("<1e-8 (exact "), small, F.lit(")"))).when(p < 1e-4, small).otherwise(F.format_string("%.4f", p))
+
+
+def hash_int(c: Column, digits: int = 12) -> Column:
+    """The first hex digits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def memo_key(c: Column, most: int = 256) -> Column:
+    """The key by which a model's answer on the first characters of a text is remembered."""
+    return F.md5(F.substring(F.coalesce(c, F.lit("")), 1, most).cast("binary"))

@@ -21,14 +21,20 @@ def value_counts(rows: DataFrame, label: str) -> DataFrame:
 
 
 def confusion(rows: DataFrame, true: str, pred: str) -> DataFrame:
-    """(true, pred, n) over the square of all labels, zeros included."""
-    rows = rows.where(F.col(true).isNotNull() & F.col(pred).isNotNull())
-    cells = rows.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+    """(true, pred, n) over the square of all labels, zeros included; rows with a blank on either side
+    take no part."""
+    own = rows.select(F.trim(F.col(true).cast("string")).alias("true"), F.trim(F.col(pred).cast("string")).alias("pred")).where((F.col("true") != "") & (F.col("pred") != ""))
+    cells = own.groupBy("true", "pred").agg(F.count("*").alias("n"))
     labels = cells.select(F.col("true").alias("l")).union(cells.select("pred")).distinct()
     grid = labels.select(F.col("l").alias("true")).crossJoin(labels.select(F.col("l").alias("pred")))  # label space only
     return grid.join(cells, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def accuracy(cells: DataFrame) -> DataFrame:
+    """One row from a confusion frame."""
+    return cells.agg(F.sum("n").alias("n"), ratio(F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
+
+
 def precision_recall(cells: DataFrame) -> DataFrame:
     """Per label from a confusion frame: precision, recall, f1, support."""
     row = cells.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit"))
@@ -57,6 +63,20 @@ def multilabel_scores(rows: DataFrame, ref: str, pred: str) -> DataFrame:
     return j.select("label", "support", "predicted", "hit", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
+def micro_macro(scores: DataFrame) -> DataFrame:
+    """One row from ``multilabel_scores``: f1 over all labels' counts together, and their mean f1."""
+    p, r = ratio(F.sum("hit"), F.sum("predicted")), ratio(F.sum("hit"), F.sum("support"))
+    return scores.agg(p.alias("micro_p"), r.alias("micro_r"), F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1")).select(ratio(2 * F.col("micro_p") * F.col("micro_r"), F.col("micro_p") + F.col("micro_r")).alias("micro_f1"), "macro_f1")
+
+
+def prediction_distribution(cells: DataFrame, by_count: bool = False) -> DataFrame:
+    """(true, distribution) from pair counts (true, pred, n): "label:n, ..." in the labels' order, or the
+    most frequent first."""
+    item = F.struct((-F.col("n")).alias("o"), "pred", "n") if by_count else F.struct("pred", "n")
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["pred"], F.lit(":"), x["n"].cast("string")))
+    return cells.where("n > 0").groupBy("true").agg(F.array_join(listed, ", ").alias("distribution"))
+
+
 def drift(a: DataFrame, b: DataFrame, label: str, flag_pp: float = 10.0) -> DataFrame:
     """Shares of two samples over the union of labels, their difference in points, and a flag."""
     x = value_counts(a, label).select(label, F.col("n").alias("n_a"), F.col("share").alias("share_a"))
@@ -66,22 +86,29 @@ def drift(a: DataFrame, b: DataFrame, label: str, flag_pp: float = 10.0) -> Data
     return j.withColumn("diff_pp", diff).withColumn("flag", F.abs(diff) > flag_pp)
 
 
-def chi_square(cells: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
-    """(chi2, dof, n, cramers_v) of a long contingency frame, without correction."""
-    c = cells.groupBy(row, col).agg(F.sum(n).alias("o"))
-    r = c.groupBy(row).agg(F.sum("o").alias("r"))
-    k = c.groupBy(col).agg(F.sum("o").alias("k")).where("k > 0")
-    t = c.agg(F.sum("o").alias("t"))
-    full = r.crossJoin(k).crossJoin(t).join(c, [row, col], "left").fillna(0, ["o"])  # label space only
-    e = F.col("r") * F.col("k") / F.col("t")
-    out = full.agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("chi2"), F.count_distinct(row).alias("nr"), F.count_distinct(col).alias("nc"), F.max("t").alias("n"))
+def chi_square(cells: DataFrame, row: str, col: str, n: str = "n", yates: bool = False) -> DataFrame:
+    """(chi2, dof, n, cramers_v) of a long contingency frame; columns without any count are left out.
+    With yates, a table of one degree of freedom is corrected for continuity."""
+    c = cells.groupBy(F.col(row).alias("_row"), F.col(col).alias("_col")).agg(F.sum(n).alias("_o"))
+    r = c.groupBy("_row").agg(F.sum("_o").alias("_r"))
+    k = c.groupBy("_col").agg(F.sum("_o").alias("_k")).where("_k > 0")
+    t = c.agg(F.sum("_o").alias("_t"))
+    full = r.crossJoin(k).crossJoin(t).join(c, ["_row", "_col"], "left").fillna(0, ["_o"])  # label space only
+    e = F.col("_r") * F.col("_k") / F.col("_t")
+    d = F.abs(F.col("_o") - e)
+    less = d - F.least(F.lit(0.5), d)
+    out = full.agg(F.sum(d * d / e).alias("plain"), F.sum(less * less / e).alias("less"), F.count_distinct("_row").alias("nr"), F.count_distinct("_col").alias("nc"), F.max("_t").alias("n"))
+    dof = (F.col("nr") - 1) * (F.col("nc") - 1)
+    chi2 = F.when(F.lit(yates) & (dof == 1), F.col("less")).otherwise(F.col("plain"))
     low = F.least("nr", "nc") - 1
-    return out.select("chi2", ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("dof"), "n", F.when(low > 0, F.sqrt(F.col("chi2") / (F.col("n") * low))).alias("cramers_v"))
+    return out.select(chi2.alias("chi2"), dof.alias("dof"), "n", F.when(low > 0, F.sqrt(chi2 / (F.col("n") * low))).alias("cramers_v"))
 
 
-def cooccurrence(rows: DataFrame, labels: str, diagonal: bool = False) -> DataFrame:
-    """(a, b, n), symmetric, of labels in one row's set."""
-    one = rows.select(F.array_distinct(labels).alias("l"))
+def cooccurrence(rows: DataFrame, labels: str, diagonal: bool = False, known: Sequence[str] | None = None) -> DataFrame:
+    """(a, b, n), symmetric, of labels in one row's set; with the diagonal, a label with itself: its
+    rows. known restricts the labels."""
+    own = F.array_distinct(labels)
+    one = rows.select((F.filter(own, lambda x: x.isin(*known)) if known is not None else own).alias("l"))
     pairs = one.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b"))
     return (pairs if diagonal else pairs.where("a <> b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -124,3 +151,49 @@ def error_reasons(confidence: Column, note: Column, l1_true: Column, l1_pred: Co
 def empty_warning(corpus: Column, validation: Column) -> Column:
     """high or low if the share of empty sets strays from the validation's."""
     return F.when((corpus > 0.30) & (corpus > validation + 0.10), "high").when((corpus < 0.10) & (corpus < validation - 0.08), "low").otherwise("ok")
+
+
+def wide_shares(rows: DataFrame, group: str, label: str, groups: dict[str, str], label_space: DataFrame) -> DataFrame:
+    """A row a label of the space: for each group (value: short name) n_ and pct_within_, in per cent of
+    the group's rows, and n_total over them."""
+    totals = rows.agg(*[F.count_if(F.col(group) == g).alias(f"_t_{s}") for g, s in groups.items()])
+    counts = rows.groupBy(F.col(label).alias("label")).agg(*[F.count_if(F.col(group) == g).alias(f"n_{s}") for g, s in groups.items()])
+    grid = label_space.select("label").join(counts, "label", "left").fillna(0).crossJoin(F.broadcast(totals))  # one row
+    pct = [F.bround(100 * ratio(F.col(f"n_{s}"), F.col(f"_t_{s}")), 1).alias(f"pct_within_{s}") for s in groups.values()]
+    return grid.select("label", *[f"n_{s}" for s in groups.values()], *pct, sum((F.col(f"n_{s}") for s in groups.values()), F.lit(0)).alias("n_total"))
+
+
+def share_matrix(rows: DataFrame, group: str, label: str, label_space: DataFrame) -> DataFrame:
+    """(group, label, share) of each group's rows over the whole label space, zeros included."""
+    base = rows.groupBy(group).agg(F.count("*").alias("n"))
+    hits = rows.groupBy(group, F.col(label).alias("label")).agg(F.count("*").alias("hits"))
+    grid = base.crossJoin(label_space.select("label"))  # label space only
+    return grid.join(hits, [group, "label"], "left").select(group, "label", ratio(F.coalesce("hits", F.lit(0)), F.col("n")).alias("share"))
+
+
+def joint_wide(rows: DataFrame, l1: str, l2: str, l1_space: DataFrame, l2_order: Sequence[str]) -> DataFrame:
+    """A row a first label of the space: its rows, and of each second label the share of them in per cent."""
+    counts = rows.groupBy(F.col(l1).alias("label")).agg(F.count("*").alias("n"), *[F.count_if(F.array_contains(l2, x)).alias(f"_{i}") for i, x in enumerate(l2_order)])
+    grid = l1_space.select("label").join(counts, "label", "left").fillna(0)
+    return grid.select("label", "n", *[F.bround(100 * ratio(F.col(f"_{i}"), F.col("n")), 1).alias(x) for i, x in enumerate(l2_order)])
+
+
+def trend_wide(rows: DataFrame, period: str, label: str, label_order: Sequence[str]) -> DataFrame:
+    """A row a period: the share of each label among its rows, 0 where it has none."""
+    return rows.groupBy(period).agg(*[F.avg((F.col(label) == x).cast("double")).alias(x) for x in label_order])
+
+
+def trend_long(rows: DataFrame, period: str, labels: str) -> DataFrame:
+    """(period, label, n, prevalence) of labels in arrays, over the period's rows."""
+    base = rows.groupBy(period).agg(F.count("*").alias("rows"))
+    hits = rows.select(period, F.explode(labels).alias("label")).groupBy(period, "label").agg(F.count("*").alias("n"))
+    return hits.join(base, period).select(period, "label", "n", (F.col("n") / F.col("rows")).alias("prevalence"))
+
+
+def unit_report(units: DataFrame, speakers: Column, procedural: Column) -> DataFrame:
+    """One row: units, shares by role, with speakers and procedural ones."""
+    return units.agg(F.count("*").alias("n_units"), *[F.avg((F.col("role") == r).cast("double")).alias(f"share_{r}") for r in ("quote", "claim", "context")], F.avg(speakers.cast("double")).alias("share_speaker"), F.avg(procedural.cast("double")).alias("share_procedural"))
+
+
+def addition_rate(added: Column, of: Column) -> Column:
+    return ratio(added, of)

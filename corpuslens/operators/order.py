@@ -45,6 +45,22 @@ def sessions(rows: DataFrame, doc: str, order: str, text: str, header: Column) -
     return marked.groupBy(doc, F.col("_s").alias("session")).agg(F.max(F.when(F.col("_h"), F.col(text))).alias("speaker"), F.array_join(lines, " ").alias("content"), F.count_if(~F.col("_h")).alias("n_lines"))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str, buckets: int = 256) -> DataFrame:
+    """rows numbered from 1 in the given order, by numbers within ranges of the first order column and
+    the ranges' sizes, so that no window spans the table. The ranges' bounds are values of the rows
+    with the smallest hashes, ``buckets`` of them at most; nulls come first."""
+    first = F.col(order[0])
+    drawn = rows.select(first.alias("v")).where("v IS NOT NULL").orderBy(F.xxhash64("v"), "v").limit(8 * buckets).distinct().orderBy("v").collect()
+    cuts = [r["v"] for r in drawn][:: max(1, -(-len(drawn) // buckets))]
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= first)) if cuts else F.lit(0)
+    placed = rows.withColumn("_range", F.when(first.isNull(), -1).otherwise(place))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    start = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    starts = sizes.select("_range", start.alias("_start"))
+    return placed.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
 def sample_rank(seed: str, key: Column) -> Column:
     """A deterministic shuffle: rows order by the hash of seed and key."""
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")).cast("binary"))
@@ -107,15 +123,31 @@ def greedy_capped(rows: DataFrame, label: str, score: str, key: str, caps: dict[
     return rows.groupBy(label).applyInPandas(walk, rows.schema)
 
 
-def moving_average(series: DataFrame, day: str, value: str, days: int = 7) -> DataFrame:
-    """Over a dense calendar of (day, value); a missing day counts 0."""
-    ends = series.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    calendar = ends.select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("interval 1 day"))).alias(day))
-    w = W.orderBy(day).rowsBetween(1 - days, 0)  # one row a day
-    dense = calendar.join(series, day, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+def moving_average(series: DataFrame, day: str, value: str, days: int = 7, by: Sequence[str] = ()) -> DataFrame:
+    """Over a dense calendar of (day, value), one for each value of ``by``; a missing day counts 0."""
+    ends = series.groupBy(*by).agg(F.min(day).alias("lo"), F.max(day).alias("hi")).where("lo IS NOT NULL")
+    calendar = ends.select(*by, F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("interval 1 day"))).alias(day))
+    w = W.partitionBy(*by).orderBy(day).rowsBetween(1 - days, 0)  # one row a day
+    dense = calendar.join(series, [*by, day], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
     return dense.withColumn("ma", F.avg(value).over(w))
 
 
+def time_bins(series: DataFrame, day: str, value: str, by: Sequence[str] = (), weeks: int = 1) -> DataFrame:
+    """Mean value by bins of whole weeks, Monday to Sunday, counted from the week of 1970-01-05."""
+    week = F.floor(F.datediff(F.to_date(day), F.lit("1970-01-05").cast("date")) / (7 * weeks))
+    start = F.date_add(F.lit("1970-01-05").cast("date"), (week * 7 * weeks).cast("int"))
+    return series.groupBy(start.alias("bin"), *by).agg(F.avg(value).alias(value)).withColumn("bin_end", F.date_add("bin", 7 * weeks - 1))
+
+
+def daily_shares(rows: DataFrame, day: str, group: str, label: str, focus: Sequence[str]) -> DataFrame:
+    """(day, group, label, n, share) of the labels in focus on every day on which a group has rows.
+    label may hold one label or an array of them."""
+    held = lambda x: F.array_contains(label, x) if dict(rows.dtypes)[label].startswith("array") else F.col(label) == x
+    counted = rows.where(F.col(day).isNotNull()).groupBy(F.to_date(day).alias("day"), group).agg(F.count("*").alias("n"), *[F.count_if(held(x)).alias(f"_{i}") for i, x in enumerate(focus)])
+    tall = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"_{i}").alias("hits")) for i, x in enumerate(focus)]))
+    return counted.select("day", group, "n", tall.alias("t")).select("day", group, F.col("t.label").alias("label"), "n", (F.col("t.hits") / F.col("n")).alias("share"))
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The upsert's result: the last row of each key."""
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

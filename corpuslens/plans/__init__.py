@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def catalogue() -> dict:
-    from . import analytics, texts
+    from . import analytics, cycle, texts
 
-    return {**texts.CATALOGUE, **analytics.CATALOGUE}
+    return {**texts.CATALOGUE, **analytics.CATALOGUE, **cycle.CATALOGUE}
 
 
 def table(spark, sf_dir: str, name: str):

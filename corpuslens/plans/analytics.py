@@ -7,7 +7,13 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import metrics as M
+from ..operators import models as ML_
+from ..operators import answers as A
+from ..operators import audit as U
 from ..operators import order as O
+from ..operators import prompts as P
+from ..operators import similarity as SI
+from ..sources import sinks
 from . import table
 
 CATALOGUE: dict = {}
@@ -65,9 +71,19 @@ def l2_combinations_topk(spark, sf):
     return c.orderBy(F.desc("n"), "combo").limit(10)
 
 
-@query(f"WITH e AS ({EV}), c AS (SELECT l1 AS label, count(*) AS n FROM e WHERE event_id % 4 = 0 GROUP BY 1), s AS (SELECT 'L1-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 10) t(r)) SELECT label, coalesce(n, 0) AS n, 400 - coalesce(n, 0) AS gap FROM s LEFT JOIN c USING (label) WHERE coalesce(n, 0) < 400")
+@query(f"WITH e AS ({EV}), c AS (SELECT l1 AS label, count(*) AS n FROM e GROUP BY 1), s AS (SELECT 'L1-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 10) t(r)) SELECT label, coalesce(n, 0) AS n, 2000 - coalesce(n, 0) AS gap FROM s LEFT JOIN c USING (label) WHERE coalesce(n, 0) < 2000")
 def label_gaps(spark, sf):
-    return M.label_gaps(events(spark, sf).where(F.col("event_id") % 4 == 0), "l1", space(spark, "L1", 9), 400)
+    return M.label_gaps(events(spark, sf), "l1", space(spark, "L1", 9), 2000)
+
+
+@query(f"""WITH e AS ({EV}), a AS (SELECT 'L1-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 10) t(r)), b AS (SELECT 'L2-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 16) t(r)),
+x AS (SELECT l1 AS label, count(*) AS n FROM e GROUP BY 1), y AS (SELECT unnest(l2) AS label FROM e), z AS (SELECT label, count(*) AS n FROM y GROUP BY 1), m AS (SELECT avg(len(l2)) AS m FROM e),
+g AS (SELECT CAST(sum(greatest(0, 2000 - coalesce(n, 0))) AS BIGINT) AS l1_gap FROM a LEFT JOIN x USING (label)), h AS (SELECT CAST(sum(greatest(0, 1500 - coalesce(n, 0))) AS BIGINT) AS l2_gap FROM b LEFT JOIN z USING (label))
+SELECT l1_gap, l2_gap, CAST(floor(l2_gap / m) AS BIGINT) AS by_l2, greatest(l1_gap, CAST(floor(l2_gap / m) AS BIGINT)) AS recommended FROM g, h, m""")
+def gap_totals(spark, sf):
+    e = events(spark, sf)
+    mean = U.profile(e, "l1", "l2").first()["labels_per_row"]
+    return U.gap_totals(M.label_gaps(e, "l1", space(spark, "L1", 9), 2000), M.label_gaps(e.select(F.explode("l2").alias("l2")), "l2", space(spark, "L2", 15), 1500), mean)
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, grouping_id(o_orderpriority, o_orderstatus) AS gid FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
@@ -117,15 +133,20 @@ def compare_target_actual(spark, sf):
 
 @query(f"WITH g AS ({GOLD}), c AS (SELECT gold, pred, count(*) AS n FROM g WHERE gold IS NOT NULL GROUP BY 1, 2) SELECT gold, string_agg(pred || ':' || n, ', ' ORDER BY pred) AS distribution FROM c GROUP BY gold")
 def prediction_distribution(spark, sf):
-    c = gold(spark, sf).where("gold IS NOT NULL").groupBy("gold", "pred").agg(F.count("*").alias("n"))
-    items = F.array_sort(F.collect_list(F.struct("pred", "n")))
-    return c.groupBy("gold").agg(F.array_join(F.transform(items, lambda x: F.concat(x["pred"], F.lit(":"), x["n"].cast("string"))), ", ").alias("distribution"))
+    return M.prediction_distribution(M.confusion(gold(spark, sf), "gold", "pred")).withColumnRenamed("true", "gold")
 
 
-@query(f"WITH g AS ({GOLD}), e AS (SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 6 = 0 THEN 'Low_Conf' END, CASE WHEN doc_id % 9 = 0 THEN 'Has_Note' END, CASE WHEN coalesce(gold, 'nan') <> pred THEN 'Wrong_L1' END) AS r FROM g) SELECT CASE WHEN r = '' THEN 'Other' ELSE r END AS reason, count(*) AS n FROM e GROUP BY 1")
+@query(f"WITH {CELLS} SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(CASE WHEN \"true\" = pred THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS accuracy FROM c")
+def l1_accuracy(spark, sf):
+    return M.accuracy(M.confusion(gold(spark, sf), "gold", "pred")).select("n", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"""WITH g AS ({GOLD}), e AS (SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 6 = 0 THEN 'Low_Conf' END, CASE WHEN doc_id % 9 = 0 THEN 'Has_Note' END, CASE WHEN coalesce(gold, 'nan') <> pred THEN 'Wrong_L1' END, CASE WHEN doc_id % 4 > 0 AND doc_id % 5 <> doc_id % 4 AND doc_id % 5 <> 4 THEN 'L2_No_Overlap' END) AS r FROM g) SELECT CASE WHEN r = '' THEN 'Other' ELSE r END AS reason, count(*) AS n FROM e GROUP BY 1""")
 def error_cases(spark, sf):
     i, none = F.col("doc_id"), F.array().cast("array<string>")
-    r = M.error_reasons(F.when(i % 6 == 0, "low").otherwise("high"), F.when(i % 9 == 0, "x"), F.col("gold"), F.col("pred"), none, none)
+    a = F.when(i % 4 > 0, F.array((i % 4).cast("string"), F.lit("4"))).otherwise(none)
+    b = F.when(i % 5 < 5, F.array((i % 5).cast("string")))
+    r = M.error_reasons(F.when(i % 6 == 0, "low").otherwise("high"), F.when(i % 9 == 0, "x"), F.col("gold"), F.col("pred"), a, b)
     return gold(spark, sf).groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -152,6 +173,35 @@ def multilabel_prf(spark, sf):
     return s.select("label", "support", "predicted", "hit", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(f"""WITH m AS ({ML}), a AS (SELECT label, count(*) AS support FROM (SELECT unnest(a) AS label FROM m) GROUP BY 1), b AS (SELECT label, count(*) AS predicted FROM (SELECT unnest(b) AS label FROM m) GROUP BY 1),
+h AS (SELECT label, count(*) AS hit FROM (SELECT unnest(list_intersect(a, b)) AS label FROM m) GROUP BY 1), j AS (SELECT label, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted, coalesce(hit, 0) AS hit FROM a FULL JOIN b USING (label) LEFT JOIN h USING (label))
+SELECT round(2.0 * sum(hit) / (sum(predicted) + sum(support)), 6) AS micro_f1, round(avg(2.0 * hit / (predicted + support)), 6) AS macro_f1 FROM j""")
+def multilabel_f1(spark, sf):
+    return M.micro_macro(M.multilabel_scores(multilabel(spark, sf), "a", "b")).select(F.round("micro_f1", 6).alias("micro_f1"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query(f"""WITH m AS ({ML}), x AS (SELECT b, unnest(a) AS ref FROM m), y AS (SELECT ref, unnest(b) AS pred FROM x), c AS (SELECT ref, pred, count(*) AS n FROM y GROUP BY 1, 2) SELECT ref, string_agg(pred || ':' || n, ', ' ORDER BY n DESC, pred) AS distribution FROM c GROUP BY ref""")
+def multilabel_distribution(spark, sf):
+    cells = M.multilabel_cells(multilabel(spark, sf), "a", "b").withColumnRenamed("ref", "true")
+    return M.prediction_distribution(cells, by_count=True).withColumnRenamed("true", "ref")
+
+
+@query(f"""WITH g AS ({GOLD}), v AS (SELECT *, doc_id % 4 > 0 AND doc_id % 3 > 0 AS hit FROM g WHERE gold IS NOT NULL) SELECT count(*) FILTER (hit) AS n_subset, count(*) FILTER (NOT hit) AS n_excluded, round(avg(CASE WHEN hit THEN CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END END), 6) AS accuracy FROM v""")
+def conditional_l1(spark, sf):
+    i, none = F.col("doc_id"), F.array().cast("array<string>")
+    g = gold(spark, sf).withColumns({"a": F.when(i % 4 > 0, F.array(F.lit("x"))).otherwise(none), "b": F.when(i % 3 > 0, F.array(F.lit("y"))).otherwise(none)})
+    return U.conditional(g, "gold", "pred", "a", "b")[1].withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH g AS ({GOLD}), v AS (SELECT * FROM g WHERE gold IS NOT NULL AND doc_id % 4 > 0 AND doc_id % 3 > 0), s AS (SELECT gold AS l FROM v UNION SELECT pred FROM v), c AS (SELECT a.l AS "true", b.l AS pred, (SELECT count(*) FROM v WHERE v.gold = a.l AND v.pred = b.l) AS n FROM s a, s b), {PRF}
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM f""")
+def conditional_prf(spark, sf):
+    i, none = F.col("doc_id"), F.array().cast("array<string>")
+    g = gold(spark, sf).withColumns({"a": F.when(i % 4 > 0, F.array(F.lit("x"))).otherwise(none), "b": F.when(i % 3 > 0, F.array(F.lit("y"))).otherwise(none)})
+    p = M.precision_recall(U.conditional(g, "gold", "pred", "a", "b")[0])
+    return p.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query("""WITH a AS (SELECT lang, count(*) AS n_a, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share_a FROM documents GROUP BY 1), b AS (SELECT lang, count(*) AS n_b, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share_b FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1)
 SELECT lang, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, round((coalesce(share_a, 0) - coalesce(share_b, 0)) * 100, 6) AS diff_pp, abs((coalesce(share_a, 0) - coalesce(share_b, 0)) * 100) > 2 AS flag FROM a FULL JOIN b USING (lang)""")
 def drift_compare(spark, sf):
@@ -174,20 +224,28 @@ def slice_diagnostics(spark, sf):
     return M.slice_flags(events(spark, sf), ["event_type", "user_id"], "l1", 20, 0.17).select("dim", "value", "n", "top_label", F.round("top_share", 6).alias("top_share"), "dominant")
 
 
-@query(f"""WITH e AS ({EV}), c AS (SELECT l1, l2, count(*) AS corpus_n FROM (SELECT l1, unnest(l2) AS l2, event_id FROM e) GROUP BY 1, 2), v AS (SELECT l1, l2, count(*) AS val_n FROM (SELECT l1, unnest(l2) AS l2, event_id FROM e WHERE event_id % 50 = 0) GROUP BY 1, 2)
-SELECT l1, l2, corpus_n, coalesce(val_n, 0) AS val_n, 'empirical' AS reason FROM c LEFT JOIN v USING (l1, l2) WHERE corpus_n >= 20 AND val_n IS NULL""")
+@query(f"""WITH e AS ({EV}), c AS (SELECT l1, l2, count(*) AS corpus_n FROM (SELECT l1, unnest(l2) AS l2, event_id FROM e) GROUP BY 1, 2), v AS (SELECT l1, l2, count(*) AS val_n FROM (SELECT l1, unnest(l2) AS l2, event_id FROM e WHERE event_id % 50 = 0) GROUP BY 1, 2),
+p AS (SELECT * FROM (VALUES ('L1-01', 'L2-01'), ('L1-09', 'L2-02'), ('L1-03', 'L2-09')) t(l1, l2)), t AS (SELECT l1, l2, 'theoretical_low_prior' AS reason, coalesce(corpus_n, 0) AS corpus_n, CASE WHEN l1 IN (SELECT l1 FROM v) AND l2 IN (SELECT l2 FROM v) THEN coalesce(val_n, 0) END AS validation_n FROM p LEFT JOIN c USING (l1, l2) LEFT JOIN v USING (l1, l2))
+SELECT l1 AS "L1", l2 AS "L2", reason, corpus_n, validation_n FROM t UNION ALL SELECT l1, l2, 'zero_in_validation_high_in_corpus', corpus_n, 0 FROM c LEFT JOIN v USING (l1, l2) WHERE corpus_n >= 20 AND val_n IS NULL""")
 def joint_low_prior(spark, sf):
-    e = events(spark, sf).select("event_id", "l1", F.explode("l2").alias("l2"))
-    c = e.groupBy("l1", "l2").agg(F.count("*").alias("corpus_n"))
-    v = e.where(F.col("event_id") % 50 == 0).groupBy("l1", "l2").agg(F.count("*").alias("val_n"))
-    return c.where("corpus_n >= 20").join(v, ["l1", "l2"], "left").where("val_n IS NULL").select("l1", "l2", "corpus_n", F.lit(0).alias("val_n"), F.lit("empirical").alias("reason"))
+    e = events(spark, sf)
+    pairs = U.low_prior_pairs(spark, [("L1-01", "L2-01"), ("L1-09", "L2-02")], spark.createDataFrame([(" L1-03", "L2-09 ")], "L1 string, L2 string"))
+    return U.joint_flags(U.joint_counts(e, "l1", "l2"), U.joint_counts(e.where(F.col("event_id") % 50 == 0), "l1", "l2"), pairs)
+
 
+@query(f"""WITH e AS ({EV}), s AS (SELECT l1, l2, 'type' AS slice, event_type AS key FROM e UNION ALL SELECT l1, l2, 'user', CAST(user_id AS VARCHAR) FROM e), n AS (SELECT slice, key, l1, count(*) AS c FROM s GROUP BY 1, 2, 3), f AS (SELECT slice, key, CAST(sum(c) AS BIGINT) AS n, max(c) AS m FROM n GROUP BY 1, 2 HAVING sum(c) >= 20),
+t AS (SELECT slice, key, f.n, min(l1) AS top_L1, max(m) AS m FROM f JOIN n USING (slice, key) WHERE c = m GROUP BY slice, key, f.n), x AS (SELECT slice, key, l2, count(*) AS c FROM (SELECT slice, key, unnest(l2) AS l2 FROM s) GROUP BY 1, 2, 3), y AS (SELECT slice, key, max(c) AS top FROM x GROUP BY 1, 2), z AS (SELECT slice, key, any_value(top) AS top, avg(CASE WHEN c < top THEN c END) AS mean FROM x JOIN y USING (slice, key) GROUP BY 1, 2)
+SELECT slice, key, n, top_L1, round(m / CAST(n AS DOUBLE), 6) AS top_L1_share, round(coalesce(top, 0) / CAST(n AS DOUBLE), 6) AS max_L2_row_prev, concat_ws('|', CASE WHEN m / CAST(n AS DOUBLE) >= 0.17 THEN 'dominant_L1' END, CASE WHEN (top / CAST(n AS DOUBLE)) / (mean / n + 1e-9) > 1.9 THEN 'skewed_L2_vs_slice_mean' END) AS flags FROM t LEFT JOIN z USING (slice, key)""")
+def slice_skew(spark, sf):
+    f = U.skew_flags(events(spark, sf), {"type": "event_type", "user": "user_id"}, "l1", "l2", 20, 0.17, 1.9)
+    return f.withColumns({c: F.round(c, 6) for c in ("top_L1_share", "max_L2_row_prev")})
 
-@query(f"""WITH e AS ({EV}), s AS (SELECT avg(CASE WHEN len(l2) = 0 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN event_id % 10 = 0 THEN CASE WHEN len(l2) = 0 THEN 1.0 ELSE 0.0 END END) AS v FROM e) SELECT round(c, 6) AS corpus_rate, round(v, 6) AS validation_rate, CASE WHEN c > 0.30 AND c > v + 0.10 THEN 'high' WHEN c < 0.10 AND c < v - 0.08 THEN 'low' ELSE 'ok' END AS warning FROM s""")
+
+@query(f"""WITH e AS ({EV}), s AS (SELECT avg(CASE WHEN len(l2) = 0 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN event_id % 10 = 0 THEN CASE WHEN len(l2) = 0 THEN 1.0 ELSE 0.0 END END) AS v FROM e) SELECT round(c, 6) AS corpus_rate, round(v, 6) AS validation_rate, CASE WHEN c > 0.30 AND c > v + 0.10 THEN 'high' WHEN c < 0.10 AND c < v - 0.08 THEN 'low' ELSE 'ok' END AS warning, v < 0.18 OR v > 0.20 AS unusual FROM s""")
 def empty_l2_gate(spark, sf):
     none = (F.size("l2") == 0).cast("double")
     s = events(spark, sf).agg(F.avg(none).alias("c"), F.avg(F.when(F.col("event_id") % 10 == 0, none)).alias("v"))
-    return s.select(F.round("c", 6).alias("corpus_rate"), F.round("v", 6).alias("validation_rate"), M.empty_warning(F.col("c"), F.col("v")).alias("warning"))
+    return s.select(F.round("c", 6).alias("corpus_rate"), F.round("v", 6).alias("validation_rate"), M.empty_warning(F.col("c"), F.col("v")).alias("warning"), U.empty_band(F.col("v")).alias("unusual"))
 
 
 @query(f"WITH e AS ({EV}), o AS (SELECT list_distinct(l2) AS l FROM e), x AS (SELECT l, unnest(l) AS a FROM o), y AS (SELECT a, unnest(l) AS b FROM x) SELECT a, b, count(*) AS n FROM y WHERE a <> b GROUP BY 1, 2")
@@ -195,10 +253,20 @@ def cooccurrence(spark, sf):
     return M.cooccurrence(events(spark, sf), "l2")
 
 
-@query("SELECT c_mktsegment AS segment, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{p}') AS \"{k}\"" for p, k in (("1-URGENT", "p1"), ("2-HIGH", "p2"), ("3-MEDIUM", "p3"))) + ", count(*) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+SEGMENTS = {"BUILDING": "b", "MACHINERY": "m", "HOUSEHOLD": "h"}
+_T2 = f"WITH j AS (SELECT o_orderpriority AS label, c_mktsegment AS g FROM orders JOIN customer ON o_custkey = c_custkey), t AS (SELECT {', '.join(f"count(*) FILTER (g = '{g}') AS t{k}" for g, k in SEGMENTS.items())} FROM j), c AS (SELECT label, {', '.join(f"count(*) FILTER (g = '{g}') AS n_{k}" for g, k in SEGMENTS.items())} FROM j GROUP BY 1), s AS (SELECT unnest(['1-URGENT', '2-HIGH', '9-NONE']) AS label)"
+
+
+@query(f"{_T2} SELECT label, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}, CASE WHEN t{k} = 0 THEN 0 ELSE round_even(100.0 * coalesce(n_{k}, 0) / t{k}, 1) END AS pct_within_{k}' for k in SEGMENTS.values())}, {' + '.join(f'coalesce(n_{k}, 0)' for k in SEGMENTS.values())} AS n_total FROM s LEFT JOIN c USING (label), t")
 def table2_wide(spark, sf):
-    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.groupBy(F.col("c_mktsegment").alias("segment")).agg(*[F.count_if(F.col("o_orderpriority") == p).alias(k) for p, k in (("1-URGENT", "p1"), ("2-HIGH", "p2"), ("3-MEDIUM", "p3"))], F.count("*").alias("total"))
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderpriority").alias("p"), "c_mktsegment")
+    labels = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("9-NONE",)], "label string")
+    return M.wide_shares(j, "c_mktsegment", "p", SEGMENTS, labels)
+
+
+@query(f"""WITH e AS ({EV}), b AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1), h AS (SELECT event_type, l1 AS label, count(*) AS hits FROM e GROUP BY 1, 2), s AS (SELECT 'L1-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 10) t(r)) SELECT event_type, label, round(coalesce(hits, 0) / CAST(n AS DOUBLE), 8) AS share FROM b CROSS JOIN s LEFT JOIN h USING (event_type, label)""")
+def figure1_shares(spark, sf):
+    return M.share_matrix(events(spark, sf), "event_type", "l1", space(spark, "L1", 9)).withColumn("share", F.round("share", 8))
 
 
 @query(f"""WITH e AS ({EV}), w AS (SELECT * FROM e WHERE len(l2) > 0), b AS (SELECT event_type, count(*) AS n FROM w GROUP BY 1), h AS (SELECT event_type, label, count(*) AS hits FROM (SELECT event_type, unnest(list_distinct(l2)) AS label, event_id FROM w) GROUP BY 1, 2), s AS (SELECT 'L2-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 9) t(r))
@@ -208,18 +276,29 @@ def table3_prev_grid(spark, sf):
     return g.withColumn("prevalence", F.round("prevalence", 8))
 
 
-@query(f"""WITH e AS ({EV}), b AS (SELECT l1, count(*) AS n FROM e GROUP BY 1), h AS (SELECT l1, l2, count(*) AS hits FROM (SELECT l1, unnest(list_distinct(l2)) AS l2, event_id FROM e) GROUP BY 1, 2) SELECT l1, l2, hits, round(hits / CAST(n AS DOUBLE), 8) AS share FROM h JOIN b USING (l1)""")
+L2_ORDER = [f"L2-0{i}" for i in range(1, 8)]
+
+
+@query(f"""WITH e AS ({EV}), c AS (SELECT l1 AS label, count(*) AS n, {', '.join(f"count(*) FILTER (list_contains(l2, '{x}')) AS h{i}" for i, x in enumerate(L2_ORDER))} FROM e GROUP BY 1), s AS (SELECT 'L1-' || lpad(CAST(r AS VARCHAR), 2, '0') AS label FROM range(1, 10) t(r))
+SELECT label, coalesce(n, 0) AS n, {', '.join(f'CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE round_even(100.0 * h{i} / n, 1) END AS "{x}"' for i, x in enumerate(L2_ORDER))} FROM s LEFT JOIN c USING (label)""")
 def table5_joint(spark, sf):
-    e = events(spark, sf)
-    b = e.groupBy("l1").agg(F.count("*").alias("n"))
-    h = e.select("l1", F.explode(F.array_distinct("l2")).alias("l2")).groupBy("l1", "l2").agg(F.count("*").alias("hits"))
-    return h.join(b, "l1").select("l1", "l2", "hits", F.round(F.col("hits") / F.col("n"), 8).alias("share"))
+    return M.joint_wide(events(spark, sf), "l1", "l2", space(spark, "L1", 9), L2_ORDER)
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS period, o_orderpriority AS label, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')) AS DOUBLE), 8) AS share FROM orders GROUP BY 1, 2")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "9-NONE"]
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS period, " + ", ".join(f"round(avg(CASE WHEN o_orderpriority = '{p}' THEN 1.0 ELSE 0.0 END), 8) AS \"{p}\"" for p in PRIORITIES) + " FROM orders GROUP BY 1")
 def l1_trend_month(spark, sf):
-    c = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("period")), 8))
+    o = table(spark, sf, "orders").select(T.period(F.col("o_orderdate")).alias("period"), "o_orderpriority")
+    t = M.trend_wide(o, "period", "o_orderpriority", PRIORITIES)
+    return t.select("period", *[F.round(F.col(f"`{p}`"), 8).alias(p) for p in PRIORITIES])
+
+
+@query(f"""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS period FROM ({EV})), b AS (SELECT period, count(*) AS n FROM e GROUP BY 1), h AS (SELECT period, label, count(*) AS n FROM (SELECT period, unnest(l2) AS label FROM e) GROUP BY 1, 2) SELECT period, label, h.n, round(h.n / CAST(b.n AS DOUBLE), 8) AS prevalence FROM h JOIN b USING (period)""")
+def l2_trend(spark, sf):
+    e = events(spark, sf).withColumn("period", F.date_format("ts", "yyyy-MM-dd"))
+    return M.trend_long(e, "period", "l2").withColumn("prevalence", F.round("prevalence", 8))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1.0 ELSE 0.0 END) AS share FROM events GROUP BY 1), c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day)
@@ -257,37 +336,72 @@ SELECT vec_id, round(sim, 4) AS sim, CASE WHEN sim >= greatest(0.42, k) THEN 'KE
 def centroid_cosine_threshold(spark, sf):
     """Cosine similarity with a label's centroid and the adaptive three-way threshold."""
     e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    c = e.where("label = 0").select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = e.crossJoin(F.broadcast(c)).select("vec_id", (dot("v", "c") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("c", "c")))).alias("sim"))
-    q = s.agg(F.percentile("sim", F.lit(0.2)).alias("k"), F.percentile("sim", F.lit(0.05)).alias("d"))
-    st = F.when(F.col("sim") >= F.greatest(F.lit(0.42), "k"), "KEEP").when(F.col("sim") < F.least(F.lit(0.28), "d"), "DROP").otherwise("REVIEW")
-    return s.crossJoin(F.broadcast(q)).select("vec_id", F.round("sim", 4).alias("sim"), st.alias("status"))
+    s = e.crossJoin(F.broadcast(SI.centroid(e.where("label = 0"), "v"))).select("vec_id", SI.cosine(F.col("v"), F.col("centroid")).alias("sim"))  # one row
+    q = s.agg(F.percentile("sim", F.lit(0.2)).alias("q20"), F.percentile("sim", F.lit(0.05)).alias("q05"))
+    return s.crossJoin(F.broadcast(q)).select("vec_id", F.round("sim", 4).alias("sim"), ML_.semantic_status(F.col("sim"), q).alias("status"))
 
 
-@query("""WITH u AS (SELECT o_custkey AS id, 1 AS batch, o_orderkey AS ord FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, 2, o_orderkey FROM orders WHERE o_orderkey % 3 = 1), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch, ord) = 1) SELECT id, batch, ord, c_mktsegment FROM f JOIN customer ON id = c_custkey""")
+@query("""WITH u AS (SELECT o_custkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS batch, o_orderkey AS ord, o_orderstatus AS st FROM orders), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch, ord) = 1) SELECT id, batch, ord, st FROM f""")
 def batch_merge_first_wins(spark, sf):
-    o = table(spark, sf, "orders")
-    pick = lambda r: o.where(F.col("o_orderkey") % 3 == r - 1).select(F.col("o_custkey").alias("id"), F.lit(r).alias("batch"), F.col("o_orderkey").alias("ord"))
-    f = pick(1).unionByName(pick(2)).groupBy("id").agg(F.min(F.struct("batch", "ord")).alias("m")).select("id", "m.batch", "m.ord")
-    return f.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), "id")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("st"))
+    return A.merge_batches([o.where(F.col("ord") % 3 == r) for r in range(3)], "ord").select("id", "batch", "ord", "st")
+
 
+VALID = [f"L1-0{i}" for i in range(1, 8)]
 
-@query("""WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT event_id, CASE WHEN k IS NULL THEN NULL WHEN k % 9 = 0 THEN NULL WHEN k % 9 > 7 THEN 'xx' ELSE 'L1-0' || (k % 9) || '_name' END AS raw, k FROM p), c AS (SELECT *, CASE WHEN regexp_extract(raw, '^(L1-\\d+)', 1) <> '' THEN regexp_extract(raw, '^(L1-\\d+)', 1) ELSE raw END AS code FROM r)
-SELECT event_id, CASE WHEN code IN ('L1-01','L1-02','L1-03','L1-04','L1-05','L1-06','L1-07') THEN code END AS l1, CASE WHEN raw IS NULL THEN 'missing response' WHEN code NOT IN ('L1-01','L1-02','L1-03','L1-04','L1-05','L1-06','L1-07') THEN 'invalid L1 code' END AS error FROM c""")
+
+@query("""WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT event_id, k % 11 AS e, CASE WHEN k % 9 > 7 THEN 'xx' ELSE 'L1-0' || (k % 9) || '_name' END AS raw, k FROM p), c AS (SELECT *, CASE WHEN regexp_extract(raw, '^(L1-\\d+)', 1) <> '' THEN regexp_extract(raw, '^(L1-\\d+)', 1) ELSE raw END AS code FROM r),
+d AS (SELECT event_id, code, CASE WHEN k % 9 = 0 THEN 'missing response' WHEN e = 0 THEN 'Empty content' WHEN code NOT IN ('L1-01','L1-02','L1-03','L1-04','L1-05','L1-06','L1-07') THEN 'invalid L1 code' ELSE '' END AS error FROM c)
+SELECT event_id, CASE WHEN error = '' THEN code END AS "L1_label", error AS "L1_error" FROM d""")
 def llm_response_parse(spark, sf):
-    """Codes out of JSON responses, held against the codebook."""
+    """Codes out of JSON answers, held against the codebook."""
+    ref, answers = _asked(spark, sf)
+    return A.join_answers(ref, answers, "event_id", VALID, None).select("event_id", "L1_label", "L1_error")
+
+
+def _asked(spark, sf):
+    """Events as rows asked about, and answers to most of them; some are empty, some labels unknown."""
     k = F.get_json_object("props", "$.k").cast("long")
-    raw = F.when(k.isNull() | (k % 9 == 0), None).when(k % 9 > 7, "xx").otherwise(F.concat(F.lit("L1-0"), (k % 9).cast("string"), F.lit("_name")))
-    code, valid = T.label_code(F.col("raw")), [f"L1-0{i}" for i in range(1, 8)]
-    e = table(spark, sf, "events").select("event_id", raw.alias("raw"))
-    return e.select("event_id", F.when(code.isin(valid), code).alias("l1"), F.when(F.col("raw").isNull(), "missing response").when(~code.isin(valid), "invalid L1 code").alias("error"))
+    e = table(spark, sf, "events").select("event_id", k.alias("k"))
+    first = F.when(F.col("k") % 9 > 7, "xx").otherwise(F.concat(F.lit("L1-0"), (F.col("k") % 9).cast("string"), F.lit("_name")))
+    second = F.when(F.col("k") % 5 == 0, F.lit('"L2-01"')).otherwise(F.concat(F.lit('["L2-0'), (F.col("k") % 5).cast("string"), F.lit('", " L2-03 ", "zz"]')))
+    body = F.concat(F.lit('{"L1": "'), first, F.lit('", "L1_cot": "c", "L2": '), second, F.lit("}"))
+    empty = F.col("k") % 11 == 0
+    answers = e.where(F.col("k") % 9 != 0).select("event_id", F.when(~empty, body).alias("content"), F.when(empty, "Empty content").alias("error"))
+    return e.select("event_id"), answers
+
+
+@query("""WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+d AS (SELECT event_id, k % 9 = 0 AS missing, k % 11 = 0 AS empty, k % 5 AS m FROM p)
+SELECT event_id, CASE WHEN missing OR empty OR m = 0 THEN '' WHEN m <= 3 THEN 'L2-0' || m || '|L2-03' ELSE 'L2-03' END AS "L2_labels", CASE WHEN missing THEN '' WHEN empty THEN 'Empty content' WHEN m = 0 THEN 'L2 field not a list' ELSE '' END AS "L2_error", CASE WHEN missing OR empty OR m = 0 THEN 0 WHEN m <= 3 THEN 1 ELSE 2 END AS "L2_dropped" FROM d""")
+def llm_l2_parse(spark, sf):
+    """Label lists out of JSON answers: unknown labels dropped, no answer no error."""
+    ref, answers = _asked(spark, sf)
+    return A.join_answers(ref, answers, "event_id", None, ["L2-01", "L2-02", "L2-03"]).select("event_id", "L2_labels", "L2_error", "L2_dropped")
 
 
-@query(f"""WITH m AS ({ML}), j AS (SELECT CASE WHEN len(list_distinct(a || b)) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(a || b)) AS DOUBLE) END AS j FROM m) SELECT round(avg(j), 6) AS mean_jaccard, round(avg(CASE WHEN j >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS share_stable FROM j""")
+@query("""WITH p AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), d AS (SELECT k % 9 = 0 AS missing, k % 11 = 0 AS empty, k % 5 AS m, k % 9 BETWEEN 1 AND 7 AS ok FROM p), f AS (SELECT *, missing OR empty OR m = 0 AS none FROM d)
+SELECT count(*) AS n_rows, count(*) FILTER (NOT missing AND NOT empty AND ok) AS n_l1_valid, count(*) FILTER (missing OR empty OR NOT ok) AS n_l1_error, count(*) FILTER (none) AS n_l2_empty, count(*) FILTER (NOT none) AS n_l2_rows_dropped, CAST(coalesce(sum(CASE WHEN none THEN 0 WHEN m <= 3 THEN 1 ELSE 2 END), 0) AS BIGINT) AS n_l2_dropped FROM f""")
+def answer_quality(spark, sf):
+    ref, answers = _asked(spark, sf)
+    return A.answer_quality(A.join_answers(ref, answers, "event_id", VALID, ["L2-01", "L2-02", "L2-03"]))
+
+
+@query("""WITH p AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT CASE WHEN k % 9 = 0 THEN 'missing response' WHEN k % 11 = 0 THEN 'Empty content' ELSE 'invalid L1 code' END AS error, count(*) AS n FROM p WHERE k % 9 = 0 OR k % 11 = 0 OR k % 9 = 8 GROUP BY 1""")
+def answer_errors(spark, sf):
+    ref, answers = _asked(spark, sf)
+    return A.error_counts(A.join_answers(ref, answers, "event_id", VALID, None), "L1_error")
+
+
+@query(f"""WITH m AS ({ML}), r AS (SELECT event_id, a AS x, b AS y, CASE WHEN event_id % 4 = 0 THEN a ELSE b END AS z, 'L1-0' || (1 + event_id % 7) AS p, CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'L1-0' || (1 + event_id % 7) END AS q FROM m),
+j AS (SELECT CASE WHEN len(list_distinct(x || y)) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(x || y)) AS DOUBLE) END AS j1, CASE WHEN len(list_distinct(x || z)) = 0 THEN 1.0 ELSE len(list_intersect(x, z)) / CAST(len(list_distinct(x || z)) AS DOUBLE) END AS j2, CASE WHEN len(list_distinct(y || z)) = 0 THEN 1.0 ELSE len(list_intersect(y, z)) / CAST(len(list_distinct(y || z)) AS DOUBLE) END AS j3, coalesce(p = q, false) AS agree FROM r),
+s AS (SELECT count(*) AS n, avg(CASE WHEN agree THEN 1.0 ELSE 0.0 END) AS a, avg(least(j1, j2, j3)) AS m, avg(CASE WHEN least(j1, j2, j3) >= 0.8 THEN 1.0 ELSE 0.0 END) AS t FROM j) SELECT n, round(a, 6) AS l1_agreement, round(m, 6) AS l2_mean_min_jaccard, round(t, 6) AS l2_share_stable, a < 0.85 AS vote_l1, t < 0.80 AS vote_l2 FROM s""")
 def stability_jaccard(spark, sf):
-    j = multilabel(spark, sf).select(T.jaccard(F.col("a"), F.col("b")).alias("j"))
-    return j.agg(F.round(F.avg("j"), 6).alias("mean_jaccard"), F.round(F.avg((F.col("j") >= 0.8).cast("double")), 6).alias("share_stable"))
+    i = F.col("event_id")
+    label = F.concat(F.lit("L1-0"), (1 + i % 7).cast("string"))
+    r = multilabel(spark, sf).withColumns({"z": F.when(i % 4 == 0, F.col("a")).otherwise(F.col("b")), "p": label, "q": F.when(i % 6 != 0, label)})
+    s = A.stability(r, ["p", "q", "p"], ["a", "b", "z"])
+    return s.withColumns({c: F.round(c, 6) for c in ("l1_agreement", "l2_mean_min_jaccard", "l2_share_stable")})
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -302,13 +416,8 @@ def notes_latest80(spark, sf):
 
 @query("SELECT o_orderkey AS custom_id, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 50) AS BIGINT) AS part FROM orders WHERE o_orderstatus = 'P'")
 def request_parts(spark, sf):
-    """Fixed-size request parts: ranks within key ranges plus the ranges' offsets, so that no window
-    spans the table."""
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("custom_id"), F.floor(F.col("o_orderkey") / 4096).alias("b"))
-    n = o.groupBy("b").agg(F.count("*").alias("n"))
-    offs = n.withColumn("off", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    r = F.row_number().over(W.partitionBy("b").orderBy("custom_id"))
-    return o.withColumn("r", r).join(offs, "b").select("custom_id", F.floor((F.col("off") + F.col("r") - 1) / 50).alias("part"))
+    """Fixed-size request parts in the order of their ids."""
+    return P.request_parts(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("custom_id")), "custom_id")
 
 
 @query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 40)")
@@ -329,7 +438,6 @@ def quick_report(spark, sf):
     return g.agg(F.sum("n").alias("n_docs"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("dup_rate"), F.sum("s").alias("n_short"), F.sum("f").alias("n_flagged"))
 
 
-@query("SELECT least(width_bucket, 60) AS bin, count(*) AS n FROM (SELECT CAST(floor(least(length(text), 800) / (800 / 60.0)) AS BIGINT) AS width_bucket FROM documents) GROUP BY 1")
+@query("SELECT least(b, 59) AS bin, round(least(b, 59) * (800 / 60.0), 6) AS low, count(*) AS n FROM (SELECT CAST(floor(least(length(text), 800) / (800 / 60.0)) AS BIGINT) AS b FROM documents) GROUP BY ALL")
 def length_histogram(spark, sf):
-    b = F.floor(F.least(F.length("text"), F.lit(800)) / (800 / 60.0))
-    return table(spark, sf, "documents").groupBy(F.least(b, F.lit(60)).alias("bin")).agg(F.count("*").alias("n"))
+    return sinks.histogram(table(spark, sf, "documents"), F.length("text"), 800, 60).withColumn("low", F.round("low", 6))
\ No newline at end of file

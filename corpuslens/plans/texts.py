@@ -4,12 +4,15 @@ script, so lexicons are Latin here; operators take them as parameters."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import order as O
 from ..operators import rules as R
 from ..operators import segment as S
-from . import table
+from ..operators import sampling as SA
+from ..operators import similarity as SI
+from . import spread, table
 
 CATALOGUE: dict = {}
 
@@ -23,7 +26,10 @@ def query(sql: str | None = None):
 
 
 WS = "[ \\t\\n\\v\\f\\r\\x1c-\\x1f\\x{85}\\p{Z}]"  # white space as the library's patterns have it
-STRIP = f"regexp_replace({{}}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 @query("""
@@ -34,20 +40,22 @@ SELECT source, lang, count(*) AS n_units, round(avg(length(line)), 6) AS mean_ch
   round(100.0 * avg(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END), 6) AS l2_nonempty_pct FROM w GROUP BY source, lang
 """)
 def table1_profile(spark, sf):
-    """Corpus profile: distinct lines as units, by source and language."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang", F.explode(F.split("text", "\n")).alias("line"))
-    d = d.withColumn("line", F.trim(F.regexp_replace("line", "[ \\t]+", " "))).where(F.length("line") >= 5)
-    u = d.groupBy("lang", "source", "line").agg(F.min("doc_id").alias("doc_id"))
-    return u.groupBy("source", "lang").agg(F.count("*").alias("n_units"), F.round(F.avg(F.length("line")), 6).alias("mean_chars"), F.round(100 * F.avg(F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1)), 6).alias("l2_nonempty_pct"))
+    """Corpus profile: distinct lines as units, by source and language. Lines meet by 128 bits of hash."""
+    d = spread(table(spark, sf, "documents")).select("doc_id", "source", "lang", F.explode(F.split("text", "\n")).alias("line"))
+    d = d.withColumn("line", F.trim(F.regexp_replace("line", "[ \\t]+", " "))).withColumn("chars", F.length("line")).where("chars >= 5")
+    d = d.select("doc_id", "source", "lang", "chars", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b"))
+    u = d.groupBy("lang", "source", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"))
+    return u.groupBy("source", "lang").agg(F.count("*").alias("n_units"), F.round(F.avg("chars"), 6).alias("mean_chars"), F.round(100 * F.avg(F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1)), 6).alias("l2_nonempty_pct"))
 
 
 @query("""
 WITH a AS (SELECT page_id, len(regexp_extract_all(html, 'https?://\\S+')) AS url_removed, regexp_replace(html, 'https?://\\S+', '<URL>', 'g') AS t FROM pages),
-b AS (SELECT page_id, url_removed, len(regexp_extract_all(t, '<[^>]+>')) AS html_removed, regexp_replace(t, '<[^>]+>', '<HTML>', 'g') AS t FROM a)
-SELECT page_id, url_removed, html_removed, 0 AS promo_trim, len(regexp_extract_all(t, '\\s{2,}')) AS space_norm, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM b
+b AS (SELECT page_id, url_removed, len(regexp_extract_all(t, '<[^>]+>')) AS html_removed, regexp_replace(t, '<[^>]+>', '<HTML>', 'g') AS t FROM a),
+c AS (SELECT *, regexp_replace(t, 'que[^<]{0,9}$|<HTML>$', '') AS p FROM b), d AS (SELECT *, trim(regexp_replace(p, '\\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url_removed, html_removed, CAST(p <> t AS INT) AS promo_trim, CAST(text <> p AND text <> '' AS INT) AS space_norm, text FROM d
 """)
 def clean_text_meta(spark, sf):
-    c = T.light_clean(F.col("html"))
+    c = T.light_clean(F.col("html"), ["que[^<]{0,9}$|<HTML>$"])
     return table(spark, sf, "pages").select("page_id", c.alias("c")).select("page_id", "c.url_removed", "c.html_removed", "c.promo_trim", "c.space_norm", "c.text")
 
 
@@ -108,14 +116,15 @@ def policy_gate(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT doc_id, text, (doc_id % 100) / 100.0 AS s, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 31) / 100.0 - 0.1 END AS m FROM documents)
-SELECT doc_id, CASE WHEN contains(text, '%%%') OR contains(text, '|') THEN 'REVIEW_DROP' WHEN contains(text, 'with the') THEN 'REVIEW_KEEP' WHEN s >= 0.40 OR coalesce(m, -9) >= 0.10 THEN 'REVIEW_KEEP'
- WHEN contains(text, 'und ') THEN 'REVIEW_CONTEXT' WHEN coalesce(m, -9) > 0 THEN 'REVIEW_CONTEXT' ELSE 'REVIEW_DROP' END AS status FROM f
+WITH f AS (SELECT doc_id, text, (doc_id % 100) / 100.0 AS s, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE round((doc_id % 31) / 100.0 - 0.1, 6) END AS m, contains(text, 'that ') OR contains(text, 'pour') AS own FROM documents)
+SELECT doc_id, CASE WHEN (contains(text, '%%%') OR contains(text, '|')) AND NOT own THEN 'REVIEW_DROP' WHEN contains(text, 'le ') AND contains(text, 'de ') AND NOT contains(text, 'dans') AND NOT own THEN 'REVIEW_DROP'
+ WHEN s >= 0.40 OR own OR m >= 0.10 OR contains(text, 'with the') THEN 'REVIEW_KEEP' WHEN contains(text, 'und ') THEN 'REVIEW_CONTEXT' WHEN m > 0 AND m < 0.10 THEN 'REVIEW_CONTEXT' ELSE 'REVIEW_DROP' END AS status FROM f
 """)
 def review_refine(spark, sf):
     i = F.col("doc_id")
     s, m = (i % 100) / 100.0, F.when(i % 7 != 0, F.round((i % 31) / 100.0 - 0.1, 6))
-    return table(spark, sf, "documents").select("doc_id", R.refine_review(F.col("text"), s, m, ["%%%", "|"], ["with the"], ["und "]).alias("status"))
+    status = R.refine_review(F.col("text"), s, m, ["that "], ["pour"], ["%%%", "|"], ["with the"], ["und "], [["le "], ["de "]], ["dans"])
+    return table(spark, sf, "documents").select("doc_id", status.alias("status"))
 
 
 @query("""
@@ -134,29 +143,28 @@ def final_decision(spark, sf):
     return table(spark, sf, "events").select("event_id", R.final_decision(i % 11 == 0, gate, gate != "none", i % 13 == 0, hard, sem, nli, F.round((i % 9) / 10.0 - 0.4, 6), i % 17 == 0).alias("final_status"))
 
 
-@query("""
-WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-t AS (SELECT doc_id, trim(line) AS text, CASE WHEN strpos(trim(line), ' | ') > 0 THEN substr(trim(line), 1, strpos(trim(line), ' | ') - 1) ELSE trim(line) END AS cut FROM u),
-c AS (SELECT text, trim(regexp_replace(regexp_replace(cut, '^[A-Z]{3,}!* ', ''), '[ \\t]+', ' ', 'g')) AS cut FROM t),
-r AS (SELECT CASE WHEN text = '' THEN 'empty' WHEN cut = '' THEN 'truncated_empty' WHEN length(cut) < 8 THEN 'too_short' WHEN regexp_matches(cut, '[%#$&*]{3}') THEN 'symbols' WHEN regexp_matches(cut, '^[^.!?]*$') THEN 'no_end' ELSE 'kept' END AS reason FROM c)
+@query(f"""
+WITH u AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT {stripped('line')} AS text FROM u),
+c AS (SELECT text, CASE WHEN contains(text, '###') THEN {stripped("substr(text, 1, strpos(text, '###') - 1)")} WHEN contains(text, '***') THEN {stripped("substr(text, 1, strpos(text, '***') - 1)")} ELSE text END AS cut FROM t),
+b AS (SELECT text, cut, CASE WHEN contains(cut, '%%%') THEN {stripped("substr(cut, 1, strpos(cut, '%%%') - 1)")} ELSE cut END AS bare FROM c),
+l AS (SELECT *, regexp_extract(bare, '(?s)^(.*?[A-Z]{{4,}}!* )', 1) AS lead FROM b), d AS (SELECT *, CASE WHEN lead <> '' THEN {stripped('substr(bare, length(lead) + 1)')} ELSE bare END AS body FROM l),
+r AS (SELECT CASE WHEN text = '' THEN 'empty' WHEN cut = '' THEN 'editor_mark_empty' WHEN bare = '' THEN 'copyright_empty' WHEN regexp_matches(bare, '[$]{{3}}$') THEN 'copyright_tail' WHEN length(body) < 10 THEN 'too_short' WHEN length(body) < 40 AND regexp_matches(body, '^[^.!?]*$') THEN 'no_end' ELSE 'kept' END AS reason FROM d)
 SELECT reason, count(*) AS n FROM r GROUP BY reason
 """)
 def news_clean_reasons(spark, sf):
-    u = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    c = R.clean_article_sentence(F.col("line"), [" | "], "^[A-Z]{3,}!* ", [("[%#$&*]{3}", "symbols"), ("^[^.!?]*$", "no_end")])
-    return u.groupBy(F.coalesce(c["reason"], F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    u = spread(table(spark, sf, "documents")).select(F.explode(F.split("text", "\n")).alias("line"))
+    c = R.clean_article_sentence(F.col("line"), ["###", "***"], "%%%", "[$]{3}$", "[A-Z]{4,}!* ", residue=[("^[^.!?]*$", "no_end")], short=40)
+    return u.select(c.alias("c")).groupBy(F.coalesce("c.reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH f AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
-SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^\\s*#\\S+\\s*$') THEN 'hashtag_only' WHEN len(regexp_extract_all(t, '[A-Za-z]')) / CAST(greatest(length(regexp_replace(t, '\\s', '', 'g')), 1) AS DOUBLE) > 0.97 THEN 'mostly_latin' WHEN (conv_id % 10) / 10.0 < 0.2 THEN 'low_similarity' END AS drop_reason FROM f
+@query(f"""
+WITH f AS (SELECT conv_id, turn, coalesce(text, '') AS t, turn % 3 <> 1 AS ctx FROM conversations), g AS (SELECT *, CASE WHEN regexp_matches(t, '#\\S+') THEN {stripped("regexp_replace(t, '#\\S+', '', 'g')")} ELSE t END AS cleaned FROM f),
+h AS (SELECT *, len(regexp_extract_all(cleaned, '[A-Za-z]')) / nullif(CAST(length(regexp_replace(cleaned, '\\s', '', 'g')) AS DOUBLE), 0) AS latin FROM g)
+SELECT conv_id, turn, cleaned, CASE WHEN regexp_matches(t, '^#\\S+$') THEN 'hashtag_only' WHEN ctx AND latin > 0.97 AND NOT regexp_matches(cleaned, 'tion') THEN 'mostly_latin' WHEN ctx AND (conv_id % 10) / 10.0 < 0.2 THEN 'low_similarity' END AS drop_reason FROM h
 """)
 def post_clean(spark, sf):
-    d = table(spark, sf, "conversations").withColumn("sim", (F.col("conv_id") % 10) / 10.0)
-    c = F.coalesce(F.col("text"), F.lit(""))
-    latin = F.regexp_count(c, F.lit("[A-Za-z]")) / F.greatest(F.length(F.regexp_replace(c, r"\s", "")), F.lit(1))
-    reason = F.when(c.rlike(r"^\s*#\S+\s*$"), "hashtag_only").when(latin > 0.97, "mostly_latin").when(F.col("sim") < 0.2, "low_similarity")
-    return d.select("conv_id", "turn", reason.alias("drop_reason"))
+    d = table(spark, sf, "conversations").withColumns({"sim": (F.col("conv_id") % 10) / 10.0, "kind": F.when(F.col("turn") % 3 != 1, "Context").otherwise("quote")})
+    return R.clean_posts(d, "text", "kind", "sim", 0.2, "tion", 0.97).select("conv_id", "turn", "cleaned", "drop_reason")
 
 
 @query("""
@@ -178,11 +186,13 @@ def speaker_sessionise(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT * FROM conversations WHERE (conv_id + turn) % 4 <> 1)
-SELECT conv_id, turn, lag(text, 1, '') OVER w AS prev, lead(text, 1, '') OVER w AS next FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+WITH f AS (SELECT *, conv_id || '_u' || turn AS unit_id FROM conversations WHERE length(text) BETWEEN 5 AND 400)
+SELECT conv_id, unit_id, lag(text, 1, '') OVER w AS prev, lead(text, 1, '') OVER w AS next FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY unit_id)
 """)
 def relink_prev_next(spark, sf):
-    return O.link_context(table(spark, sf, "conversations").where((F.col("conv_id") + F.col("turn")) % 4 != 1), "conv_id", "turn", "text").select("conv_id", "turn", "prev", "next")
+    """Context links anew after the length gate, in the order of the unit ids as text."""
+    c = table(spark, sf, "conversations").where(F.length("text").between(5, 400)).withColumn("unit_id", F.concat_ws("_u", "conv_id", "turn"))
+    return O.link_context(c, "conv_id", "unit_id", "text").select("conv_id", "unit_id", "prev", "next")
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS dup_flag FROM documents")
@@ -257,18 +267,21 @@ def balanced_draw(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT doc_id, round((CASE WHEN doc_id % 100 BETWEEN 45 AND 60 THEN 2.0 ELSE 0 END) + (CASE WHEN contains(text, 'that') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(text, 'pour') THEN 0.8 ELSE 0 END) + (CASE WHEN n_chars BETWEEN 50 AND 200 THEN 0.5 ELSE 0 END), 2) AS score,
- concat_ws('|', CASE WHEN doc_id % 100 BETWEEN 45 AND 60 THEN 'boundary' END, CASE WHEN contains(text, 'that') THEN 'speaker' END, CASE WHEN contains(text, 'pour') THEN 'target' END, CASE WHEN n_chars BETWEEN 50 AND 200 THEN 'length' END) AS reasons FROM documents),
+WITH f AS (SELECT doc_id, length(text) AS n, round((doc_id % 100) / 100.0, 2) AS sim, round((doc_id % 31) / 100.0, 2) AS m, contains(text, 'that') AS a, contains(text, 'pour') OR contains(text, 'und') AS b, contains(text, 'with') AS sp, contains(text, 'les ') AS tg, contains(text, 'der ') AS pr,
+ CASE WHEN regexp_matches(text, '"[^"]+"') THEN 'quote' WHEN regexp_matches(text, 'tion') THEN 'claim' ELSE 'context' END AS role FROM documents),
+s AS (SELECT doc_id, round((CASE WHEN sim BETWEEN 0.45 AND 0.60 THEN 2.0 ELSE 0 END) + (CASE WHEN m BETWEEN 0.05 AND 0.20 THEN 1.5 ELSE 0 END) + (CASE WHEN a THEN 1.0 ELSE 0 END) + (CASE WHEN b THEN 1.0 ELSE 0 END) + (CASE WHEN sp THEN 1.0 ELSE 0 END) + (CASE WHEN tg THEN 0.8 ELSE 0 END) + (CASE WHEN pr THEN 0.5 ELSE 0 END) + (CASE role WHEN 'quote' THEN 1.5 WHEN 'claim' THEN 1.0 ELSE 0 END) + (CASE WHEN n BETWEEN 50 AND 200 THEN 0.5 ELSE 0 END), 2) AS score,
+ concat_ws('|', CASE WHEN sim BETWEEN 0.45 AND 0.60 THEN 'boundary_semantic' END, CASE WHEN m BETWEEN 0.05 AND 0.20 THEN 'boundary_nli' END, CASE WHEN a THEN 'l2_L2-01' END, CASE WHEN b THEN 'l2_L2-02' END, CASE WHEN sp THEN 'has_speaker' END, CASE WHEN tg THEN 'has_target' END, CASE WHEN pr THEN 'procedural' END, CASE WHEN role <> 'context' THEN role END, CASE WHEN n BETWEEN 50 AND 200 THEN 'good_length' END) AS reasons FROM f),
 n AS (SELECT least(200, greatest(1, CAST(floor(0.05 * count(*)) AS BIGINT))) AS n FROM documents)
 SELECT doc_id, score, reasons FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= (SELECT n FROM n)
 """)
 def score_topk(spark, sf):
-    d = table(spark, sf, "documents")
-    parts = [(F.col("doc_id") % 100).between(45, 60), F.contains(F.col("text"), F.lit("that")), F.contains(F.col("text"), F.lit("pour")), F.col("n_chars").between(50, 200)]
-    score = sum((F.when(p, v).otherwise(0.0) for p, v in zip(parts, (2.0, 1.0, 0.8, 0.5), strict=True)), F.lit(0.0))
-    reasons = F.concat_ws("|", *[F.when(p, n) for p, n in zip(parts, ("boundary", "speaker", "target", "length"), strict=True)])
-    n = min(200, max(1, int(0.05 * d.count())))
-    return d.select("doc_id", F.round(score, 2).alias("score"), reasons.alias("reasons")).orderBy(F.desc("score"), "doc_id").limit(n)
+    d, c, i = table(spark, sf, "documents"), F.col("text"), F.col("doc_id")
+    has = lambda x: F.contains(c, F.lit(x))
+    s = SA.sample_score(c, F.round((i % 100) / 100.0, 2), F.round((i % 31) / 100.0, 2), {"L2-01": ["that"], "L2-02": ["pour", "und"]}, has("with"), has("les "), has("der "), T.unit_role(c, '"[^"]+"', "tion"))
+    n = d.agg(F.least(F.lit(200), F.greatest(F.lit(1), F.floor(0.05 * F.count("*")))).alias("n"))
+    top = d.select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.reasons").orderBy(F.desc("score"), "doc_id").limit(200)
+    top = top.withColumn("rn", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))  # 200 rows
+    return top.crossJoin(F.broadcast(n)).where("rn <= n").select("doc_id", "score", "reasons")
 
 
 @query("""
@@ -284,25 +297,23 @@ def length_gate(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS term FROM documents), q AS (SELECT doc_id, count(*) AS tf, any_value(dl) AS dl, term FROM (SELECT doc_id, len(string_split(text, ' ')) AS dl, unnest(string_split(text, ' ')) AS term FROM documents) WHERE term IN ('that', 'with', 'from') GROUP BY doc_id, term),
-n AS (SELECT count(*) AS n, avg(len(string_split(text, ' '))) AS avgdl FROM documents), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM q GROUP BY term)
-SELECT doc_id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN df USING (term), n GROUP BY doc_id
+WITH d AS (SELECT doc_id, text, length(text) AS dl FROM documents), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), df AS (SELECT c, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c FROM d) GROUP BY c),
+i AS (SELECT c, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, n), e AS (SELECT 0.25 * avg(idf) AS eps FROM i), q AS (SELECT c, count(*) AS k FROM (SELECT unnest(['Z', 'ü', 'x', 'Z', 'ñ', 'W']) AS c) GROUP BY c),
+t AS (SELECT doc_id, dl, c, k, length(text) - length(replace(text, c, '')) AS tf FROM d, q),
+s AS (SELECT doc_id, round(sum(CASE WHEN tf > 0 THEN k * (CASE WHEN idf < 0 THEN eps ELSE idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END), 6) AS score FROM t JOIN i USING (c), e, n GROUP BY doc_id),
+b AS (SELECT min(score) AS b FROM (SELECT score, row_number() OVER (ORDER BY score) AS rn, count(*) OVER () AS n FROM s) WHERE rn > floor(n * 0.7))
+SELECT doc_id, score, score >= b AS top FROM s, b
 """)
 def bm25(spark, sf):
-    """BM25 of three query terms; only their rows leave the scan."""
-    d = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    n = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    q = d.select("doc_id", F.size("w").alias("dl"), F.explode(F.filter("w", lambda x: x.isin("that", "with", "from"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = q.groupBy("term").agg(F.count("*").alias("df"))
-    j = q.join(F.broadcast(df), "term").crossJoin(F.broadcast(n))  # three rows and one row
-    s = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    return j.groupBy("doc_id").agg(F.round(F.sum(s), 6).alias("score"))
+    """BM25 over characters, and the best three in ten."""
+    scored = SI.char_bm25(table(spark, sf, "documents"), "doc_id", "text", "ZüxZñW")
+    return SA.top_share(scored.withColumn("score", F.round("score", 6)), "score", 0.3)
 
 
 @query()
 def segment_sentences(spark, sf):
     """Sentence units with context links."""
-    u = S.to_units(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    u = S.to_units(spread(table(spark, sf, "documents")), "doc_id", F.col("text"))
     return O.link_context(u, "doc_id", "idx", "sentence")
 
 
