@@ -2,8 +2,10 @@
 
 Suffixes are classified as larger (L) or smaller (S) than their successor. Leftmost S suffixes (LMS)
 are put in order, recursively on their ranks where two are equal, and induce the order of all
-others in two linear passes. Where t holds bytes a pass handles one bucket at a time as whole arrays;
-the recursion and sequences of words, whose alphabets are large, walk plain lists.
+others in two linear passes. Where t holds bytes a pass handles one bucket at a time as whole arrays.
+The recursion and sequences of words have large alphabets and small buckets: there a pass handles a
+stretch of places at a time, up to the first place that the stretch itself fills; short texts walk
+plain lists.
 """
 
 from __future__ import annotations
@@ -93,6 +95,92 @@ def _induce(t: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.nda
     return sa
 
 
+def _targets(c: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """The next places of suffixes of buckets c, taken in order."""
+    order = np.argsort(c, kind="stable")
+    found = c[order]
+    place = np.arange(len(found))
+    new = np.empty(len(found), bool)
+    new[0] = True
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    rank = place - np.maximum.accumulate(np.where(new, place, 0))
+    target = np.empty(len(c), np.int64)
+    target[order] = at[found] + rank if step > 0 else at[found] - 1 - rank
+    return target
+
+
+STRETCH = 2  # places in a stretch, by the root of the length
+SLOW = 8  # places handled at a time below which single steps are faster
+
+
+def _induce_stretches(t: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    n = len(t)
+    starts, ends = _bounds(t, k)
+    sa = np.full(n, -1, np.int64)
+    tails, heads = ends.copy(), starts.copy()
+    _place(sa, t, lms[::-1], tails, -1)
+    sa[heads[t[n - 1]]] = n - 1  # the last suffix precedes its bucket's other L suffixes
+    heads[t[n - 1]] += 1
+    stretch = max(64, int(STRETCH * n**0.5))
+
+    def single(p: int, at: np.ndarray, want: bool, step: int) -> None:
+        j = sa[p] - 1
+        if j >= 0 and small[j] == want:
+            c = t[j]
+            at[c] -= step < 0
+            sa[at[c]] = j
+            at[c] += step > 0
+
+    a = 0
+    while a < n:
+        b = min(n, a + stretch)
+        found = sa[a:b]
+        at = np.flatnonzero(found > 0)
+        j = found[at] - 1
+        large = ~small[j]
+        j, at = j[large], at[large] + a
+        if len(j):
+            target = _targets(t[j], heads, 1)
+            first = int(target.min())
+            if first < b:
+                if first - a < SLOW:
+                    b = min(n, a + 64)
+                    for p in range(a, b):
+                        single(p, heads, False, 1)
+                    a = b
+                    continue
+                b, early = first, at < first
+                j, target = j[early], target[early]
+            sa[target] = j
+            np.add.at(heads, t[j], 1)
+        a = b
+
+    tails, b = ends.copy(), n
+    while b > 0:
+        a = max(0, b - stretch)
+        found = sa[a:b][::-1]
+        at = np.flatnonzero(found > 0)
+        j = found[at] - 1
+        less = small[j]
+        j, at = j[less], b - 1 - at[less]
+        if len(j):
+            target = _targets(t[j], tails, -1)
+            last = int(target.max())
+            if last >= a:
+                if b - 1 - last < SLOW:
+                    a = max(0, b - 64)
+                    for p in range(b - 1, a - 1, -1):
+                        single(p, tails, True, -1)
+                    b = a
+                    continue
+                a, late = last + 1, at > last
+                j, target = j[late], target[late]
+            sa[target] = j
+            np.subtract.at(tails, t[j], 1)
+        b = a
+    return sa
+
+
 def _induce_lists(t: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
     n = len(t)
     starts, ends = _bounds(t, k)
@@ -154,7 +242,7 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
         return np.arange(n)
     t = np.asarray(t)
     k = int(t.max()) + 1 if k is None else k
-    induce = _induce if k <= 256 and n > 20_000 else _induce_lists
+    induce = _induce_lists if n < 2000 else _induce if k <= 256 and n > 20_000 else _induce_stretches
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) < 2:
