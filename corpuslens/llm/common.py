@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def scratch(df: DataFrame, name: str, done: Sequence[DataFrame] = ()) -> DataFrame:
+def scratch(df: DataFrame, name: str, done: Sequence[DataFrame] = (), codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
     The write's shuffle files go when it has ended, and so do the scratch tables ``done``, which
@@ -46,7 +46,7 @@ def scratch(df: DataFrame, name: str, done: Sequence[DataFrame] = ()) -> DataFra
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -136,14 +136,16 @@ def lean(run: Callable) -> Callable:
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column, nulls as empty texts; no copy per row."""
+    """UTF-8 bytes and offsets of a string column, nulls as empty texts, or the bytes of a binary column
+    without nulls; no copy per row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    if not (pa.types.is_large_string(column.type) or pa.types.is_string(column.type)):
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not (large or pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
         column = column.cast(pa.string())
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if large else np.int32
     _, offs, data = column.buffers()
     n = len(column)
     if n == 0:
