@@ -26,6 +26,14 @@ def tokenizer_paths() -> tuple[str, str]:
 def token_ids(text: str, paths: tuple[str, str]) -> list[int]:
     """Ids as the tokenizers file gives them. The ranks give the same ids several times faster; a
     text that holds a special token's string goes through the file itself."""
+    special, fast = encoder(paths)
+    if any(s in text for s in special):
+        return _encoders[paths[0]][0].encode(text, add_special_tokens=False).ids
+    return fast.encode_ordinary(text)
+
+
+def encoder(paths: tuple[str, str]):
+    """(strings of special tokens, encoder by the ranks), read once a process."""
     if paths[0] not in _encoders:
         import base64
 
@@ -38,16 +46,12 @@ def token_ids(text: str, paths: tuple[str, str]) -> list[int]:
         with open(paths[1], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[paths[0]] = whole, special, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole, special, fast = _encoders[paths[0]]
-    if any(s in text for s in special):
-        return whole.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+    return _encoders[paths[0]][1:]
 
 
 def word_ids(words: list[str], paths: tuple[str, str]) -> list[list[int]]:
     """token_ids of each word with a leading space; special tokens are sought in all at once."""
-    token_ids("", paths)
-    _, special, fast = _encoders[paths[0]]
+    special, fast = encoder(paths)
     joined = " " + "\n ".join(words)
     if any(s in joined for s in special):
         return [token_ids(" " + w, paths) for w in words]

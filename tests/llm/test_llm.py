@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import chat, common, decontaminate, html_text, jaccard_join, langid, line_quality, lm_score, packing, pu_quality, repeats
@@ -511,6 +512,36 @@ def test_scores_of_an_empty_table(spark):
     assert all(r["train_tokens"] == r["n_known"] == 0 and np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in got)
 
 
+def test_words_spelled_together():
+    """Ids of words encoded in one text are those of each word alone, and cut where the words are."""
+    paths, r = packing.tokenizer_paths(), np.random.default_rng(5)
+    plain = ["Hello", "it's", "x", "3.14", "naïve", "日本語", "...", "'s", "a" * 3000, "¿qué?", "e\u0301", "0"]
+    odd_words = ["\u00a0", "a\u00a0", "\u00a0\u00a0b", "\u2003x\u3000", "\x1cz", "<|endoftext|>", "a<|endoftext|>b"]
+    for words in ([], ["a"], plain, odd_words, plain + odd_words, [str(x) for x in r.integers(0, 10**9, 500)]):
+        for _ in range(5):
+            words = [words[i] for i in r.permutation(len(words))]
+            data = np.frombuffer("\n".join(words).encode(), np.uint8)
+            sizes = np.array([len(w.encode()) for w in words], np.int64)
+            start = np.cumsum(sizes + 1) - sizes - 1
+            ids, n = lm_score._spelled(data, start, start + sizes, paths)
+            low = [w.encode().lower().decode() for w in words]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == (packing.word_ids(low, paths) if words else [[]])
+
+
+def test_tokens_read_back():
+    """Equal words of any rows have equal hashes, others do not; every row ends with the end."""
+    texts = ["", "One two one", "  two\tONE ", "x" * 40, "\u00a0 \u00a0", " ".join(f"w{i}" for i in range(300))]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, sizes, token = lm_score._subwords(np.frombuffer("".join(texts).encode(), np.uint8), offsets, packing.tokenizer_paths())
+    ends = np.cumsum(sizes)
+    bits = [np.packbits(token[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
+    hashes, row = lm_score._tokens(pa.array(bits, pa.binary()), ids, sizes)
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    want = [(i, w) for i, t in enumerate(texts) for w in [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(low)), None]]
+    assert row.tolist() == [i for i, _ in want] and (ids[ends - 1] == lm_score.END).all()
+    assert len({(h, w) for h, (_, w) in zip(hashes.tolist(), want)}) == len({w for _, w in want}) == len(set(hashes.tolist()))
+
+
 def test_windows_learned_from():
     row = np.repeat([0, 1, 2, 3], [1, 5, 40, 3])
     for thin in (1, 2, 7, 50):
