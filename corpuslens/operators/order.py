@@ -16,8 +16,13 @@ def link_context(units: DataFrame, doc: str, order: str, text: str) -> DataFrame
 
 
 def flag_duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """dup_flag on all but the first row of a key."""
-    return rows.withColumn("dup_flag", F.row_number().over(W.partitionBy(key).orderBy(order)) > 1)
+    """dup_flag on all but the first row of a key (null is a key of its own; a null order comes first).
+    order tells a key's rows apart. The first ones are aggregated and joined back, so that a hot key's
+    rows need not meet in one task."""
+    keyed = rows.withColumn("_key", key)
+    first = keyed.groupBy(F.col("_key").alias("_k")).agg(F.min(F.struct(order)).alias("_first"))
+    marked = keyed.join(first, F.col("_key").eqNullSafe(F.col("_k")))
+    return marked.withColumn("dup_flag", ~F.struct(order).eqNullSafe(F.col("_first"))).select(*rows.columns, "dup_flag")
 
 
 def priority_dedup(rows: DataFrame, key: str, tier: str, order: str) -> DataFrame:

@@ -269,7 +269,7 @@ def balanced_draw(spark, sf):
 @query("""
 WITH f AS (SELECT doc_id, length(text) AS n, round((doc_id % 100) / 100.0, 2) AS sim, round((doc_id % 31) / 100.0, 2) AS m, contains(text, 'that') AS a, contains(text, 'pour') OR contains(text, 'und') AS b, contains(text, 'with') AS sp, contains(text, 'les ') AS tg, contains(text, 'der ') AS pr,
  CASE WHEN regexp_matches(text, '"[^"]+"') THEN 'quote' WHEN regexp_matches(text, 'tion') THEN 'claim' ELSE 'context' END AS role FROM documents),
-s AS (SELECT doc_id, round((CASE WHEN sim BETWEEN 0.45 AND 0.60 THEN 2.0 ELSE 0 END) + (CASE WHEN m BETWEEN 0.05 AND 0.20 THEN 1.5 ELSE 0 END) + (CASE WHEN a THEN 1.0 ELSE 0 END) + (CASE WHEN b THEN 1.0 ELSE 0 END) + (CASE WHEN sp THEN 1.0 ELSE 0 END) + (CASE WHEN tg THEN 0.8 ELSE 0 END) + (CASE WHEN pr THEN 0.5 ELSE 0 END) + (CASE role WHEN 'quote' THEN 1.5 WHEN 'claim' THEN 1.0 ELSE 0 END) + (CASE WHEN n BETWEEN 50 AND 200 THEN 0.5 ELSE 0 END), 2) AS score,
+s AS (SELECT doc_id, CAST(round((CASE WHEN sim BETWEEN 0.45 AND 0.60 THEN 2.0 ELSE 0 END) + (CASE WHEN m BETWEEN 0.05 AND 0.20 THEN 1.5 ELSE 0 END) + (CASE WHEN a THEN 1.0 ELSE 0 END) + (CASE WHEN b THEN 1.0 ELSE 0 END) + (CASE WHEN sp THEN 1.0 ELSE 0 END) + (CASE WHEN tg THEN 0.8 ELSE 0 END) + (CASE WHEN pr THEN 0.5 ELSE 0 END) + (CASE role WHEN 'quote' THEN 1.5 WHEN 'claim' THEN 1.0 ELSE 0 END) + (CASE WHEN n BETWEEN 50 AND 200 THEN 0.5 ELSE 0 END), 2) AS DOUBLE) AS score,
  concat_ws('|', CASE WHEN sim BETWEEN 0.45 AND 0.60 THEN 'boundary_semantic' END, CASE WHEN m BETWEEN 0.05 AND 0.20 THEN 'boundary_nli' END, CASE WHEN a THEN 'l2_L2-01' END, CASE WHEN b THEN 'l2_L2-02' END, CASE WHEN sp THEN 'has_speaker' END, CASE WHEN tg THEN 'has_target' END, CASE WHEN pr THEN 'procedural' END, CASE WHEN role <> 'context' THEN role END, CASE WHEN n BETWEEN 50 AND 200 THEN 'good_length' END) AS reasons FROM f),
 n AS (SELECT least(200, greatest(1, CAST(floor(0.05 * count(*)) AS BIGINT))) AS n FROM documents)
 SELECT doc_id, score, reasons FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= (SELECT n FROM n)
