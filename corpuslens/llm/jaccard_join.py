@@ -15,7 +15,9 @@ sets of each bucket (those whose buckets are fullest: copies of one text differ
 than from each other), then all pairs of a bucket. The later rounds take pairs that are still in different
 components and whose sketches (the parity of the tokens in each of 256 classes) differ in no more
 places than the linked sets may differ in tokens. Nothing is capped: links that could join
-components are all verified. The result is the components only: pairs already in one component are
+components are all verified. The frequency table knows tokens that a task meets twice; among others,
+those of common words stand behind those of rare ones, else the chance meetings of common words fill
+more and fuller buckets the larger a table is. The result is the components only: pairs already in one component are
 skipped, so neither the links nor their number come out.
 """
 
@@ -37,6 +39,7 @@ FREQUENT_KEPT = 262_144  # the frequency table is sent to every task: 16 bytes a
 SMALL = 500_000  # ids that may be broadcast, 4 MB
 FLUSH = 500_000  # tokens counted together
 SEEN = 200_000  # set ids by which a task knows the texts it has counted
+CLASSES = 1 << 16  # of words, by hash: a task keeps a count of each, and all tasks get half a MB of ranks
 BUCKET_BYTES = 16 << 20  # entries gathered in one task
 SKETCH = 256  # bits
 CENTRAL_ROUNDS = 2
@@ -44,15 +47,29 @@ BITS = [f"b{i}" for i in range(SKETCH // 64)]
 ENTRY = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<i4"), ("before", "<i4")])
 
 
-def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after, tokens, row of each) of groups of rows; distinct tokens of each row."""
+def word_groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after, words, row of each) of groups of rows."""
     data, offsets = text_buffers(column)
     for i, j in doc_groups(offsets):
         base = offsets[i]
-        words, row = word_hashes(data[base : offsets[j]], offsets[i : j + 1] - base)
+        yield i, j, *word_hashes(data[base : offsets[j]], offsets[i : j + 1] - base)
+
+
+def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after, tokens, row of each) of groups of rows; distinct tokens of each row."""
+    for i, j, words, row in word_groups(column):
         sh, rw, _ = shingles(words, row, k)
-        sh, rw = distinct_per_row(sh, rw)
-        yield i, j, sh, rw
+        yield i, j, *distinct_per_row(sh, rw)
+
+
+def ranked_tokens(words: np.ndarray, row: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens of each row, row of each, how common its words are): the sum of the ranks of a
+    token's words, which is the same wherever the token stands; 0 where a text has fewer than k words."""
+    sh, rw, at = shingles(words, row, k)
+    total = np.concatenate([[0], np.cumsum(rank[words & U(CLASSES - 1)], dtype=np.int64)])
+    end = np.minimum(at + k, len(words))
+    whole = (end - at == k) & (row[end - 1] == rw) if len(at) else np.empty(0, bool)
+    return distinct_per_row(sh, rw, np.where(whole, total[end] - total[at], 0))
 
 
 def set_ids(sh: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,19 +101,24 @@ def _fold(token: np.ndarray, count: np.ndarray, more: list[np.ndarray]) -> tuple
     return t[c > 0], c[c > 0]
 
 
-def _frequent(docs: DataFrame, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens and their document counts, sorted by token.
+def _frequent(docs: DataFrame, k: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent tokens and their document counts, sorted by token; and a rank of each class of
+    words, by how often its words occur.
 
     Each task sums up all its documents (equal sets once, as far as it remembers them) and reports
-    tokens that it met twice or more. So a token that is missing here has few documents a task, and
-    its bucket is of the order of the number of tasks. The table only orders tokens; any order gives
-    the same result.
+    tokens that it met twice or more, and the words of all documents by class. A token that is missing
+    here may have a few documents in every task; its words tell whether that is likely, so such tokens
+    stand behind those of rarer words. The tables only order tokens; any order gives the same result.
     """
 
     def count(batches):
         token, c, have, size, seen = np.empty(0, U), np.empty(0, np.int64), [], 0, set()
+        common = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            for i, j, sh, rw in token_sets(batch.column("text"), k):
+            for i, j, words, row in word_groups(batch.column("text")):
+                common += np.bincount((words & U(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                sh, rw, _ = shingles(words, row, k)
+                sh, rw = distinct_per_row(sh, rw)
                 _, a, _ = set_ids(sh, rw, j - i)
                 new = np.zeros(j - i, bool)
                 for x, key in enumerate(a.tolist()):
@@ -112,13 +134,20 @@ def _frequent(docs: DataFrame, k: int, floor: int) -> tuple[np.ndarray, np.ndarr
                     have, size = [], 0
         if have:
             token, c = _fold(token, c, have)
-        yield pa.record_batch([pa.array(token[c > 1].view(np.int64)), pa.array(c[c > 1])], ["token", "c"])
-
-    counts = docs.select("text").mapInArrow(lean(count), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "token").limit(FREQUENT_KEPT).toArrow()
+        full = np.flatnonzero(common)
+        for word, keys, counts in ((False, token[c > 1].view(np.int64), c[c > 1]), (True, full, common[full])):
+            yield pa.record_batch([pa.array(np.full(len(keys), word)), pa.array(keys), pa.array(counts)], ["word", "token", "c"])
+
+    counts = docs.select("text").mapInArrow(lean(count), "word boolean, token long, c long").groupBy("word", "token").agg(F.sum("c").alias("c"))
+    counts = scratch(counts.where(F.col("word") | (F.col("c") >= floor)), "counts")
+    top = counts.where("NOT word").orderBy(F.desc("c"), "token").limit(FREQUENT_KEPT).toArrow()
+    classes = counts.where("word").toArrow()
+    discard(counts)
     token, c = top["token"].to_numpy().view(U), top["c"].to_numpy()
     order = np.argsort(token)
-    return token[order], c[order]
+    rank = np.zeros(CLASSES, np.int64)
+    rank[classes["token"].to_numpy()] = np.log2(classes["c"].to_numpy()) * 8
+    return token[order], c[order], rank
 
 
 def signatures(sh: np.ndarray, row: np.ndarray, often: np.ndarray, n: np.ndarray, percent: int, pair_from: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,20 +173,22 @@ def signatures(sh: np.ndarray, row: np.ndarray, often: np.ndarray, n: np.ndarray
     return sigs[back], np.bincount(owner, minlength=rows), np.bincount(row[single], minlength=rows), n_rare
 
 
-def _signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], pair_from: int) -> DataFrame:
-    known, count = frequent
+def _signatures(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], pair_from: int) -> DataFrame:
+    known, count, rank = frequent
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for i, j, sh, rw in token_sets(batch.column("text"), k):
+            for i, j, words, row in word_groups(batch.column("text")):
+                sh, rw, common = ranked_tokens(words, row, k, rank)
                 n, a, b = set_ids(sh, rw, j - i)
                 bits = sketches(sh, rw, j - i)
                 often = np.zeros(len(sh), np.int64)
                 if len(known) and len(sh):
                     at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
                     often = np.where(known[at] == sh, count[at], 0)
-                sigs, counts, singles, rare = signatures(sh, rw, often, n, percent, pair_from)
+                often = (often << 20) + np.minimum(common, (1 << 20) - 1)  # among equals by the words
+                sigs, counts, singles, rare = signatures(sh, rw, often, n, percent, pair_from << 20)
                 yield pa.record_batch(
                     [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(counts.astype(np.int32)), pa.array(singles.astype(np.int32)), pa.array(rare.astype(np.int32)), binary_array(sigs, counts), *map(pa.array, np.ascontiguousarray(bits.T))],
                     ["doc_id", "n_shingles", "set_a", "set_b", "n_sigs", "n_single", "n_rare", "sigs", *BITS],
@@ -264,9 +295,10 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int, column: str, k
 def _tokens(docs: DataFrame, ids: DataFrame, k: int, short: bool) -> DataFrame:
     """(doc_id, tokens): sorted tokens of the documents with the given ids; short: two bytes of each.
 
-    ids is broadcast where it is small, else joined by a shuffle."""
+    ids is broadcast where it is small. Else all documents' short tokens, or the texts, are dealt out
+    by id, whichever are less."""
     ids = scratch(ids, "ids")
-    sent = F.broadcast(ids) if ids.count() <= SMALL else ids
+    few = ids.count() <= SMALL
 
     def run(batches):
         for batch in batches:
@@ -276,16 +308,27 @@ def _tokens(docs: DataFrame, ids: DataFrame, k: int, short: bool) -> DataFrame:
                 kept = (sh >> U(48)).astype(np.uint16) if short else sh  # the highest bits, so still in order
                 yield pa.record_batch([own.slice(i, j - i), binary_array(kept, n)], ["doc_id", "tokens"])
 
-    one = docs.join(sent, "doc_id", "left_semi").mapInArrow(lean(run), "doc_id long, tokens binary")
+    made = lambda rows: rows.mapInArrow(lean(run), "doc_id long, tokens binary")
+    if short and not few:
+        one = made(docs).join(ids, "doc_id", "left_semi")
+    else:
+        one = made(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
     return scratch(one.dropDuplicates(["doc_id"]), "tokens", [ids])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shorts: DataFrame, k: int, percent: int) -> DataFrame:
     """Whole sets are compared; first by two bytes of each token, which rules out nearly all others
-    at a quarter of the traffic and never a link."""
-    likely = scratch(_overlapping(pairs, shorts, percent, "tokens", np.uint16), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    return _overlapping(likely, _tokens(docs, ids, k, False), percent, "tokens", U)
+    at a quarter of the traffic and never a link. pairs is a scratch table. Of shorts, only the sets
+    that are in a pair are dealt out, unless these are many."""
+    ends = scratch(_ends(pairs), "ends")
+    own = shorts.join(F.broadcast(ends), "doc_id", "left_semi") if ends.count() <= SMALL else shorts
+    likely = scratch(_overlapping(pairs, own, percent, "tokens", np.uint16), "likely", [ends])
+    tokens = _tokens(docs, _ends(likely), k, False)
+    return scratch(_overlapping(likely, tokens, percent, "tokens", U), "verified", [likely, tokens])
 
 
 def _mixed(rows: DataFrame, sketch: DataFrame, of) -> DataFrame:
@@ -329,8 +372,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
 
     near = buckets.where(F.col("doc_id") != F.col("pivot")).where(_possible(percent))
     near = scratch(near.groupBy("doc_id", "n", "pivot", "n2").agg(F.count("*").alias("shared")), "near")
-    best = near.groupBy("doc_id").agg(F.max(F.struct("shared", F.xxhash64("pivot").alias("h"), "pivot")).alias("v"))
-    first = scratch(best.select(*ordered("doc_id", "v.pivot")).distinct(), "pairs")
+    best = near.groupBy("doc_id", "n").agg(F.max(F.struct("shared", F.xxhash64("pivot").alias("h"), "pivot", "n2")).alias("v"))
+    best = best.select("doc_id", "n", "v.pivot", "v.n2").join(sketch, "doc_id").join(other_sketch("pivot"), "pivot").where(_alike(percent))
+    first = scratch(best.select(*ordered("doc_id", "pivot")).distinct(), "pairs")
     links = scratch(_verified(first, docs, shorts, k, percent), "links")
     parts = connected_components(links)
 
@@ -345,8 +389,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
     # that was held against its whole bucket leaves it; a pair that fails the position bound there
     # shares an earlier token, whose bucket it stays in.
     rows, done = buckets.select("sig", "doc_id", "n", "pos", "before"), first.unionByName(second)
+    read = [buckets]
     for _ in range(CENTRAL_ROUNDS):
         member = _mixed(rows, sketch, of)
+        discard(*read)
         central = member.join(member.groupBy("sig").agg(F.count("*").alias("size")), "sig").groupBy("doc_id").agg(F.sum("size").alias("weight"))
         lead = member.join(central, "doc_id").groupBy("sig").agg(F.max(F.struct("weight", "doc_id")).getField("doc_id").alias("doc_id"))
         lead = scratch(lead, "lead")
@@ -355,13 +401,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent_
         links = scratch(links.unionByName(_verified(pairs, docs, shorts, k, percent)), "links", [links])
         parts = connected_components(links)
         rows, done = member.join(lead, ["sig", "doc_id"], "left_anti").select("sig", "doc_id", "n", "pos", "before"), done.unionByName(pairs)
+        read = [member, lead]
 
     member = _mixed(rows, sketch, of)
+    discard(*read)
     rest = member.join(_other(member), "sig").where("doc_id < d2 AND component <> c2").where(_possible(percent) & _alike(percent))
     rest = rest.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    rest = scratch(rest, "pairs")
     links = scratch(links.unionByName(_verified(rest, docs, shorts, k, percent)), "links", [links])
     parts = connected_components(links)
-    discard(buckets, sketch, shorts)
+    discard(member, sketch, shorts, rest)
 
     out = base.join(parts.withColumnRenamed("node", "same_set"), "same_set", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "same_set", "doc_id").alias("component_id"), F.coalesce("same_set", "doc_id").alias("same_set"))

@@ -181,6 +181,26 @@ def test_frequent_summary():
     assert dict(zip(token.tolist(), c.tolist())) == {5: 180, 7: 60, **{k: 1 for k in range(100, 120)}}
 
 
+def test_common_words_fill_no_buckets(spark):
+    """Texts that share shingles of common words only, by chance, have no signature in common, although
+    no token is known to be frequent."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("abcdef") if x % 12 < 6 else f"w{i}x{x}" for x in range(240))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard_join._signatures(docs, 3, 85, jaccard_join._frequent(docs, 3, 10**6), 1024)
+    assert sets.agg({"n_sigs": "sum"}).first()[0] > 4000
+    assert jaccard_join._buckets(sets, 4).count() == 0
+
+
+def test_jaccard_of_many_sets(spark, monkeypatch):
+    """Where ids are too many to be sent to all tasks, the tables are dealt out, with the same result."""
+    rows = [(x["doc_id"], x["text"]) for x in odd(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "SMALL", 0)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(docs, 4, 60).collect()}
+    assert got == brute_components(rows, 4, 60)
+
+
 @pytest.mark.parametrize("pair_from", [1024, 0])
 def test_jaccard(spark, pair_from):
     r = random.Random(4)
