@@ -6,8 +6,8 @@ id's share within its class comes from the counts of the whole training text. Th
 ids are classes of their own. Windows of CONTEXT ids overlap; each id is scored once, in the window
 that gives it more context. Words become ids once: the ids are written to the shared folder, and counts,
 training and scores read them. Training is local: tasks start from common weights, take steps on windows
-of every training document of their part, and the weights are averaged; time bounds the steps,
-never the documents.
+of their part, and the weights are averaged. After a first round on some windows of every training
+document, rounds of a bounded number of steps go over all windows, each of which is learned from once.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ CONTEXT, OVERLAP, WIDTH = 32, 8, 32
 INPUTS, OUTPUTS = 1024, 128  # most frequent ids that are classes of their own
 END, START = 50257, 50258  # beyond the tokenizer's ids; all fit into two bytes
 IDS = 50259
-BATCH, RATE, ROUNDS = 64, 1e-2, (50, 200)  # windows a step, first round's rate, steps a task by round
+BATCH, RATE, ROUNDS = 64, 1e-2, (50, 800)  # windows a step, first round's rate, steps a task in the first round and in each of those that take all windows
 GROUP = 1 << 22  # bytes of text whose distinct words are encoded together
 KNOWN_WORDS = 500_000  # counts that travel to every task: 16 bytes each, 8 MB
 _ODD_SPACE = re.compile(r"[^\S ]")
@@ -259,9 +259,10 @@ def _tokens(begins: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return SpanHash(ids).of(start, np.append(start[1:], len(ids))), row
 
 
-def _batches(ids: np.ndarray, sizes: np.ndarray, overlap: int = OVERLAP, thin: int = 1):
+def _batches(ids: np.ndarray, sizes: np.ndarray, overlap: int = OVERLAP, thin: int = 1, part: tuple[int, int] = (0, 1)):
     """(inputs, targets, real, row): overlapping windows in which each id is a real target once.
-    thin: keep only the windows that _thinned names."""
+    thin: keep only the windows that _thinned names. part (which, of): keep every of-th window of a text,
+    from a place that its size and first id tell; the parts 0 to of - 1 hold each window once."""
     step = CONTEXT - overlap
     counts = 1 + -(-np.maximum(sizes - CONTEXT, 0) // step)
     row = np.repeat(np.arange(len(sizes)), counts)
@@ -270,6 +271,9 @@ def _batches(ids: np.ndarray, sizes: np.ndarray, overlap: int = OVERLAP, thin: i
         kept = _thinned(row, thin)
         row, nth = row[kept], nth[kept]
     begin = np.cumsum(sizes) - sizes
+    if part[1] > 1:
+        kept = (nth + (sizes + ids[begin])[row]) % part[1] == part[0]
+        row, nth = row[kept], nth[kept]
     at = nth[:, None] * step + np.arange(CONTEXT)
     real = (at < sizes[row][:, None]) & ((nth[:, None] == 0) | (np.arange(CONTEXT) >= overlap))
     place = begin[row][:, None] + np.minimum(at, (sizes[row] - 1)[:, None])
@@ -322,23 +326,28 @@ def _thinned(row: np.ndarray, thin: int) -> np.ndarray:
     return nth % thin == row % np.minimum(thin, counts[row])
 
 
+def _schedule(subwords: int, tasks: int, rounds: tuple[int, ...]) -> list[tuple[int, tuple[int, int]]]:
+    """(thin, part) of each round, as _batches takes them: rounds of about so many steps a task on windows
+    from all over each document, then as many of rounds[-1] steps as take every window once."""
+    share = CONTEXT * BATCH * tasks
+    of = max(1, -(-subwords // (share * rounds[-1])))
+    return [(max(1, subwords // (share * steps)), (0, 1)) for steps in rounds[:-1]] + [(1, (which, of)) for which in range(of)]
+
+
 def _train(ids: DataFrame, vocabulary: Vocabulary, subwords: int, rounds: tuple[int, ...]) -> CausalModel:
-    """Rounds of local training and averaging: each task takes about as many steps as the round says,
-    on windows from all over each of its documents."""
+    """Rounds of local training and averaging, as _schedule gives them."""
     model = CausalModel(vocabulary.inputs, vocabulary.outputs)
     part = ids.select("ids")
     tasks = max(1, part.rdd.getNumPartitions())
 
-    def learner(flat: np.ndarray, steps: int, rate: float):
-        thin = max(1, subwords // (CONTEXT * BATCH * tasks * steps))
-
+    def learner(flat: np.ndarray, thin: int, which: tuple[int, int], rate: float):
         def run(batches):
             own = CausalModel(vocabulary.inputs, vocabulary.outputs)
             own.load(flat)
             adam, taken = Adam(own, rate), 0
             for batch in batches:
                 for _, _, some, sizes in _id_groups(batch):
-                    source, target, real, _ = _batches(some, sizes, 0, thin)
+                    source, target, real, _ = _batches(some, sizes, 0, thin, which)
                     chosen = np.random.default_rng(taken).permutation(len(source))
                     for s in range(0, len(chosen), BATCH):
                         cut = chosen[s : s + BATCH]
@@ -354,8 +363,8 @@ def _train(ids: DataFrame, vocabulary: Vocabulary, subwords: int, rounds: tuple[
         return pa.table({"bucket": pa.array([0], pa.int32()), "steps": [float(np.sum(group["steps"].to_numpy()))], "weights": pa.array([total], pa.list_(pa.float64()))})
 
     shape = "bucket int, steps double, weights array<double>"
-    for nth, steps in enumerate(rounds):
-        got = part.mapInArrow(learner(model.flat(), steps, RATE / (1 + nth)), shape).groupBy("bucket").applyInArrow(add, shape).toArrow()  # 16 rows at most
+    for nth, (thin, which) in enumerate(_schedule(subwords, tasks, rounds)):
+        got = part.mapInArrow(learner(model.flat(), thin, which, RATE / min(1 + nth, 8)), shape).groupBy("bucket").applyInArrow(add, shape).toArrow()  # 16 rows at most
         if got.num_rows:
             model.load(np.sum([np.asarray(w.values) for w in got["weights"]], axis=0) / got["steps"].to_numpy().sum())
     return model
@@ -365,9 +374,9 @@ def score_documents(docs: DataFrame, held_out, rounds: tuple[int, ...] = ROUNDS)
     """docs(doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, n_subwords), a row per input row.
 
-    held_out is a boolean column; all other rows train. In each of ``rounds`` a task takes about that
-    many steps of BATCH windows, spread over every one of its documents: all windows of a small
-    table, every so many of a large one. base_score is the smoothed log10 unigram
+    held_out is a boolean column; all other rows train. In each of ``rounds`` but the last a task takes
+    about that many steps of BATCH windows, spread over every one of its documents; then it takes every
+    window of its documents once, in rounds of about rounds[-1] steps. base_score is the smoothed log10 unigram
     probability of the words and the end, score the model's. A null, empty or blank text is the
     end alone. Without training rows all counts are 0 and the model keeps its first weights. Other
     columns are ignored; rows that repeat an id score alike if their texts are equal.

@@ -570,6 +570,18 @@ def test_windows_learned_from():
         assert (counts >= 1).all() and (abs(counts - np.bincount(row) / thin) <= 1).all()
 
 
+def test_every_window_is_learned_from():
+    """However large the table, the rounds take every window, each once after the first round."""
+    r = np.random.default_rng(3)
+    sizes = np.array([1, 5, 33, 900, 2, 4000, 64])
+    ids = r.integers(0, lm_score.IDS, sizes.sum()).astype(np.uint16)
+    windows = lambda **k: Counter(zip(*(map(bytes, x) for x in lm_score._batches(ids, sizes, 0, **k)[:3]), strict=True))
+    for subwords in (100, 10**8, 10**9):
+        rounds = lm_score._schedule(subwords, 4, lm_score.ROUNDS)
+        got = sum((windows(thin=thin, part=part) for thin, part in rounds[len(lm_score.ROUNDS) - 1 :]), Counter())
+        assert got == windows() and (len(rounds) > 2) == (subwords > 100)
+
+
 def test_scores_beat_word_parts_alone(spark):
     """On held-out text the model is better than smoothed counts of single subword ids."""
     from corpuslens.llm.queries import _fold
