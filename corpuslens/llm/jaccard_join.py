@@ -23,6 +23,7 @@ skipped, so neither the links nor their number come out.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ SMALL = 500_000  # ids that may be broadcast, 4 MB
 FLUSH = 500_000  # tokens counted together
 SEEN = 200_000  # set ids by which a task knows the texts it has counted
 CLASSES = 1 << 16  # of words, by hash: a task keeps a count of each, and all tasks get half a MB of ranks
+PAIRS = 1 << 17  # pairs compared at a time, or as many as there are sets in them
 BUCKET_BYTES = 16 << 20  # entries gathered in one task
 SKETCH = 256  # bits
 CENTRAL_ROUNDS = 2
@@ -323,10 +325,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, shorts: DataFrame, k: int, percent: int) -> DataFrame:
     """Whole sets are compared; first by two bytes of each token, which rules out nearly all others
     at a quarter of the traffic and never a link. pairs is a scratch table. Of shorts, only the sets
-    that are in a pair are dealt out, unless these are many."""
+    that are in a pair are dealt out, unless these are many. Each pair carries a set's tokens along, so
+    many pairs are compared in turns, and the files of one turn go before the next."""
     ends = scratch(_ends(pairs), "ends")
-    own = shorts.join(F.broadcast(ends), "doc_id", "left_semi") if ends.count() <= SMALL else shorts
-    likely = scratch(_overlapping(pairs, own, percent, "tokens", np.uint16), "likely", [ends])
+    sets = ends.count()
+    own = shorts.join(F.broadcast(ends), "doc_id", "left_semi") if sets <= SMALL else shorts
+    turns = max(1, -(-pairs.count() // max(PAIRS, sets)))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(turns))
+    found = [scratch(_overlapping(pairs.where(turn == x), own, percent, "tokens", np.uint16), "likely") for x in range(turns)]
+    likely = scratch(functools.reduce(DataFrame.unionByName, found), "likely", [ends, *found]) if turns > 1 else found[0]
     tokens = _tokens(docs, _ends(likely), k, False)
     return scratch(_overlapping(likely, tokens, percent, "tokens", U), "verified", [likely, tokens])
 

@@ -192,6 +192,22 @@ def test_common_words_fill_no_buckets(spark):
     assert jaccard_join._buckets(sets, 4).count() == 0
 
 
+def test_pairs_compared_in_turns(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{x}" for x in range(80)]
+    rows = [(i, " ".join(f"y{i}x{x}" if r.random() < i / 60 else w for x, w in enumerate(base))) for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[x : x + 2]) for x in range(79)} for i, t in rows}
+    every = [(a, b) for a in sets for b in sets if a < b]
+    want = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    names, write = [], jaccard_join.scratch
+    monkeypatch.setattr(jaccard_join, "scratch", lambda df, name, *a, **k: names.append(name) or write(df, name, *a, **k))
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    pairs = write(spark.createDataFrame(every, "a long, b long"), "pairs")
+    got = jaccard_join._verified(pairs, docs, jaccard_join._tokens(docs, docs.select("doc_id"), 2, True), 2, 70)
+    assert {tuple(x) for x in got.collect()} == want and 0 < len(want) < len(every) and names.count("likely") == 4
+
+
 def test_jaccard_of_many_sets(spark, monkeypatch):
     """Where ids are too many to be sent to all tasks, the tables are dealt out, with the same result."""
     rows = [(x["doc_id"], x["text"]) for x in odd(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
