@@ -25,28 +25,38 @@ from .hashing import SpanHash, U, word_hashes, word_spans
 from .packing import encoder, tokenizer_paths, word_ids
 
 CONTEXT, OVERLAP, WIDTH = 32, 8, 32
-INPUTS, OUTPUTS = 1024, 128  # most frequent ids that are classes of their own
+INPUTS, OUTPUTS = 1024, 240  # most frequent ids that are classes of their own
 END, START = 50257, 50258  # beyond the tokenizer's ids; all fit into two bytes
 IDS = 50259
 BATCH, RATE, ROUNDS = 64, 1e-2, (50, 800)  # windows a step, first round's rate, steps a task in the first round and in each of those that take all windows
 GROUP = 1 << 22  # bytes of text whose distinct words are encoded together
+EDGE = 80  # exp of as much, and of its negative, is a float
 KNOWN_WORDS = 500_000  # counts that travel to every task: 16 bytes each, 8 MB
 _ODD_SPACE = re.compile(r"[^\S ]")
 _firsts: dict[tuple[str, str], np.ndarray] = {}
 
 
 class CausalModel:
-    """One causal self-attention layer with a residual, over input classes, to output classes."""
+    """One causal self-attention layer with a residual, over input classes, to output classes in two steps:
+    a group of classes, then a class (a slot) of that group. So a target costs twice the root of the classes.
 
-    names = ("embed", "place", "wq", "wk", "wv", "wo", "out", "bias")
+    Keys are the inputs themselves and what follows the values is a residual: a second matrix on either
+    side of the attention would only be multiplied by the first.
+    """
+
+    names = ("embed", "place", "wq", "wv", "top", "out")
 
     def __init__(self, inputs: int, outputs: int, seed: int = 3):
         r = np.random.default_rng(seed)
         f = lambda *shape: r.normal(0, 0.2, shape).astype(np.float32)
+        self.groups = max(1, round(outputs**0.5))
+        self.slots = -(-outputs // self.groups)
+        self.spare = self.groups * self.slots - outputs  # slots of the last group that are no class
         self.embed, self.place = f(inputs, WIDTH), f(CONTEXT, WIDTH)
-        self.wq, self.wk, self.wv, self.wo = f(WIDTH, WIDTH), f(WIDTH, WIDTH), f(WIDTH, WIDTH), f(WIDTH, WIDTH)
-        self.out, self.bias = f(WIDTH, outputs), np.zeros(outputs, np.float32)
-        self.mask = np.tril(np.full((CONTEXT, CONTEXT), -1e9, np.float32), -1)  # by key and query
+        self.wq, self.wv = f(WIDTH, WIDTH), f(WIDTH, WIDTH)
+        self.top, self.out = f(self.groups, WIDTH + 1), f(self.groups, self.slots, WIDTH + 1)  # a bias last
+        self.top[:, -1] = self.out[:, :, -1] = 0
+        self.seen = np.triu(np.ones((CONTEXT, CONTEXT), np.float32))  # by key and query
 
     def params(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.names]
@@ -61,82 +71,121 @@ class CausalModel:
             at += p.size
 
     def _weights(self, q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weights by key and query, their sums): the weights are normalised by each query's largest,
-        but not by their sum. Sums and maxima run over an axis before the last, which numpy does
-        several times faster."""
+        """(weights by key and query, their sums): not normalised. q: queries of a window's last places.
+        Only where exp could leave the range of floats is each query's largest taken off first."""
         a = k @ q.transpose(0, 2, 1)
-        a += self.mask
-        a -= a.max(axis=1, keepdims=True)
+        seen = self.seen[:, CONTEXT - q.shape[1] :]
+        if not (-EDGE < a.min() and a.max() < EDGE):
+            a -= np.where(seen > 0, a, -np.inf).max(axis=1, keepdims=True)
+            np.minimum(a, 0, out=a)
         np.exp(a, out=a)
-        return a, a.sum(axis=1)
-
-    def _attention(self, c: np.ndarray):
-        """(inputs, queries, keys, values, weights by key and query, their sums)."""
-        x = self.embed[c] + self.place
-        qkv = x @ np.concatenate([self.wq * self.embed.dtype.type(WIDTH**-0.5), self.wk, self.wv], axis=1)
-        q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
-        return x, q, k, v, *self._weights(q, k)
-
-    def _scores(self, h: np.ndarray) -> np.ndarray:
-        """Class scores less the largest, a column a position."""
-        z = self.out.T @ h.T
-        z += self.bias[:, None]
+        a *= seen
+        return a, np.ones((1, CONTEXT), a.dtype) @ a
+
+    def _grouped(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the targets by group, their groups in it, where each group's targets begin and end)."""
+        group = (y // self.slots).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        return order, group[order], np.concatenate([[0], np.cumsum(np.bincount(group, minlength=self.groups))])
+
+    def _scores(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of groups, and of the slots of each target's own group, less the largest; a column a
+        target, by group. h: rows that end with a one."""
+        t = self.top @ h.T
+        z = np.empty((self.slots, len(h)), h.dtype)
+        for g in range(self.groups):
+            if ends[g] < ends[g + 1]:
+                np.matmul(self.out[g], h[ends[g] : ends[g + 1]].T, out=z[:, ends[g] : ends[g + 1]])
+        if self.spare:
+            z[-self.spare :, ends[-2] :] = -np.inf
+        t -= t.max(axis=0)
         z -= z.max(axis=0)
-        return z
+        return t, z
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queries, keys, values after wo, and inputs with a one, of each class and of each place, and the
-        output layer with its bias: scoring adds two rows where training multiplies by the weights."""
-        side = np.concatenate([self.wq * self.embed.dtype.type(WIDTH**-0.5), self.wk, self.wv @ self.wo, np.eye(WIDTH, WIDTH + 1, dtype=self.embed.dtype)], axis=1)
+    def _side(self) -> np.ndarray:
+        return np.concatenate([self.wq * self.embed.dtype.type(WIDTH**-0.5), self.wv], axis=1)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, values, and inputs with a one, of each class and of each place: scoring adds two rows
+        where training multiplies by the weights."""
+        side = np.concatenate([self._side(), np.eye(WIDTH, WIDTH + 1, dtype=self.embed.dtype)], axis=1)
         of_place = self.place @ side
         of_place[:, -1] = 1
-        return self.embed @ side, of_place, np.concatenate([self.out, self.bias[None]]).T
+        return self.embed @ side, of_place
 
     def log_probs(self, c: np.ndarray, y: np.ndarray, real: np.ndarray, tables=None) -> np.ndarray:
-        """Natural log probabilities of the real targets, in order; the output layer runs at these only.
+        """Natural log probabilities of the real targets, in order; the output layer runs at these only,
+        and queries at the last places only where no other is real in any window.
         tables: those of the weights as they are, made here if not given."""
-        of_class, of_place, out = tables or self.tables()
-        t = of_class[c]
+        of_class, of_place = tables or self.tables()
+        t = of_class.take(c, 0)
         t += of_place
-        q, k, v, h = (t[:, :, i * WIDTH : i * WIDTH + WIDTH + (i == 3)] for i in range(4))
-        a, total = self._weights(q, k)
+        low = int(real.any(axis=0).argmax())
+        k, v = t[:, :, 2 * WIDTH : 3 * WIDTH], t[:, :, WIDTH : 2 * WIDTH]
+        a, total = self._weights(t[:, low:, :WIDTH], k)
         m = a.transpose(0, 2, 1) @ v
-        m /= total[:, :, None]
-        h[:, :, :WIDTH] += m
-        z = out @ h[real].T
-        z -= z.max(axis=0)
-        own = z[y[real], np.arange(z.shape[1])]
-        return own - np.log(np.exp(z, out=z).sum(axis=0))
+        m /= total.transpose(0, 2, 1)
+        k[:, low:] += m
+        y = y[real]
+        order, group, ends = self._grouped(y)
+        t, z = self._scores(t.reshape(-1, t.shape[-1])[np.flatnonzero(real)[order], 2 * WIDTH :], ends)
+        nth = np.arange(len(y))
+        got = t[group, nth] + z[y[order] % self.slots, nth]
+        got -= np.log(np.exp(t, out=t).sum(axis=0) * np.exp(z, out=z).sum(axis=0))
+        out = np.empty_like(got)
+        out[order] = got
+        return out
 
     def gradients(self, c: np.ndarray, y: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
         """Of the real targets' mean negative log probability."""
-        x, q, k, v, a, total = self._attention(c)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        one = self.embed.dtype.type
-        a /= total[:, None]
+        one, n, w = self.embed.dtype.type, len(c), WIDTH
+        x = self.embed.take(c, 0)
+        x += self.place
+        flat, side = x.reshape(-1, w), self._side()
+        qv = (flat @ side).reshape(n, CONTEXT, 2 * w)
+        q, v = qv[:, :, :w], qv[:, :, w:]
+        a, total = self._weights(q, x)
+        a /= total
         m = a.transpose(0, 2, 1) @ v
-        own = x[real] + m[real] @ self.wo
-        p = self._scores(own)
-        np.exp(p, out=p)
-        n = max(1, p.shape[1])
-        p /= p.sum(axis=0) * one(n)
-        p[y[real], np.arange(p.shape[1])] -= one(1 / n)
-        dh = np.zeros_like(x)
-        dh[real] = (self.out @ p).T
-        dm = dh @ self.wo.T
-        da = v @ dm.transpose(0, 2, 1)
-        da -= (dm * m).sum(axis=2)[:, None]  # each query's mean of da, by weight
+        h = np.empty((n * CONTEXT, w + 1), x.dtype)
+        np.add(flat, m.reshape(-1, w), out=h[:, :w])
+        h[:, w] = 1
+        at, y = np.flatnonzero(real), y[real]
+        order, group, ends = self._grouped(y)
+        at, h = at[order], h.take(at[order], 0)
+        t, z = self._scores(h, ends)
+        nth, share = np.arange(len(y)), one(1 / max(1, len(y)))
+        for p, own in ((t, group), (z, y[order] % self.slots)):
+            np.exp(p, out=p)
+            p *= share / p.sum(axis=0)
+            p[own, nth] -= share
+        gtop, gout = t @ h, np.zeros_like(self.out)
+        back = np.zeros((len(y) + 1, w), x.dtype)  # by target; the last row is for places without one
+        np.matmul(t.T, self.top[:, :w], out=back[:-1])
+        for g in range(self.groups):
+            if ends[g] < ends[g + 1]:
+                some = slice(ends[g], ends[g + 1])
+                np.matmul(z[:, some], h[some], out=gout[g])
+                back[some] += z[:, some].T @ self.out[g, :, :w]
+        target = np.full(n * CONTEXT, len(y))
+        target[at] = nth
+        dh = back.take(target, 0).reshape(x.shape)
+        da = v @ dh.transpose(0, 2, 1)
+        da -= np.einsum("nij,nij->ni", dh, m)[:, None]  # each query's mean of da, by weight
         da *= a
-        dq = da.transpose(0, 2, 1) @ k * one(WIDTH**-0.5)
-        dqkv = np.concatenate([dq, da @ q, a @ dm], axis=2)  # q is scaled already
-        dx = dh + dqkv @ np.concatenate([self.wq, self.wk, self.wv], axis=1).T
-        gqkv = flat(x).T @ flat(dqkv)
+        dqv = np.empty_like(qv)
+        np.matmul(da.transpose(0, 2, 1), x, out=dqv[:, :, :w])
+        np.matmul(a, dh, out=dqv[:, :, w:])
+        dh += da @ q  # q is scaled already
+        dx, dqv = dh.reshape(-1, w), dqv.reshape(-1, 2 * w)
+        gside = flat.T @ dqv
+        dx += dqv @ side.T
         order = np.argsort(c, axis=None, kind="stable")
         classes = c.ravel()[order]
         first = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
         gembed = np.zeros_like(self.embed)
-        gembed[classes[first]] = np.add.reduceat(flat(dx)[order], first)
-        return [gembed, dx.sum(0), gqkv[:, :WIDTH], gqkv[:, WIDTH : 2 * WIDTH], gqkv[:, 2 * WIDTH :], flat(m).T @ flat(dh), (p @ own).T, p.sum(1)]
+        gembed[classes[first]] = np.add.reduceat(dx.take(order, 0), first)
+        return [gembed, dh.sum(0), gside[:, :w] * one(w**-0.5), gside[:, w:], gtop, gout]
 
 
 class Adam:
@@ -146,10 +195,20 @@ class Adam:
 
     def step(self, grads: list[np.ndarray]) -> None:
         self.t += 1
+        root = (1 - 0.99**self.t) ** 0.5
+        rate, tiny = np.float32(self.rate * root / (1 - 0.9**self.t)), np.float32(1e-8 * root)
         for p, g, m, v in zip(self.model.params(), grads, self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= np.float32(self.rate) * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            g = g * g
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g += tiny
+            np.divide(m, g, out=g)
+            g *= rate
+            p -= g
 
 
 class Vocabulary:
@@ -413,13 +472,15 @@ def score_documents(docs: DataFrame, held_out, rounds: tuple[int, ...] = ROUNDS)
             for i, n, own, sizes in _id_groups(batch):
                 source, target, real, wrow = _batches(own, sizes)
                 score = np.zeros(n)
-                for s in range(0, len(source), BATCH):
-                    cut = slice(s, s + BATCH)
-                    y, some = target[cut], real[cut]
-                    lp = model.log_probs(vocabulary.into[source[cut]], vocabulary.out[y], some, tables) + vocabulary.share[y[some]]
-                    first = wrow[s]
-                    part = np.bincount(np.repeat(wrow[cut] - first, some.sum(axis=1)), weights=lp)
-                    score[first : first + len(part)] += part
+                # a text's first window has targets at all places, the others at their last
+                for some in (real[:, 0], ~real[:, 0]):
+                    at = np.flatnonzero(some)
+                    for s in range(0, len(at), BATCH):
+                        cut = at[s : s + BATCH]
+                        y, own_real, where = target[cut], real[cut], wrow[cut]
+                        lp = model.log_probs(vocabulary.into[source[cut]], vocabulary.out[y], own_real, tables) + vocabulary.share[y[own_real]]
+                        part = np.bincount(np.repeat(where - where[0], own_real.sum(axis=1)), weights=lp)
+                        score[where[0] : where[0] + len(part)] += part
                 words, row = _tokens(batch.column("begins").slice(i, n), own, sizes)
                 at = np.minimum(np.searchsorted(token, words), max(len(token) - 1, 0))
                 found = token[at] == words if len(token) else np.zeros(len(words), bool)

@@ -629,6 +629,34 @@ def test_scores_learn_from_every_training_row(spark, monkeypatch):
     assert all(got[i] > first[i] + 1 for i in first)  # better than the first weights
 
 
+def test_output_classes_in_two_steps():
+    """A target costs a group's and a slot's score, not every class's, and the probabilities of all classes
+    sum to one; large scores are no trouble."""
+    r = np.random.default_rng(2)
+    for outputs, scale in ((256, 1), (7, 1), (1, 1), (31, 60)):
+        model = lm_score.CausalModel(20, outputs)
+        assert len(model.top) + model.out.shape[1] <= 2 * outputs**0.5 + 1
+        for name in model.names:
+            setattr(model, name, getattr(model, name).astype(np.float64) * scale)
+        c = r.integers(0, 20, (1, lm_score.CONTEXT))
+        real = np.ones(c.shape, bool)
+        every = np.array([model.log_probs(c, np.full(c.shape, y), real) for y in range(outputs)])
+        assert np.allclose(np.exp(every).sum(axis=0), 1)
+        x = (model.embed[c] + model.place)[0]
+        a = np.where(np.tri(lm_score.CONTEXT, dtype=bool), x @ model.wq @ x.T * lm_score.WIDTH**-0.5, -np.inf)
+        a = np.exp(a - a.max(axis=1, keepdims=True))
+        h = np.c_[x + a / a.sum(axis=1, keepdims=True) @ x @ model.wv, np.ones(len(x))]
+        soft = lambda z: z - z.max(axis=1, keepdims=True) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+        groups = soft(h @ model.top.T)
+        for y in range(outputs):
+            g, slot = divmod(y, model.slots)
+            have = min(model.slots, outputs - g * model.slots)
+            assert np.allclose(every[y], groups[:, g] + soft(h @ model.out[g, :have].T)[:, slot])
+        late = real & (np.arange(lm_score.CONTEXT) >= lm_score.OVERLAP)
+        y = r.integers(0, outputs, c.shape)
+        assert np.allclose(model.log_probs(c, y, late), model.log_probs(c, y, real)[lm_score.OVERLAP :])
+
+
 def test_model_gradients():
     r = np.random.default_rng(1)
     model = lm_score.CausalModel(10, 6)
